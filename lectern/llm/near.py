@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +19,7 @@ BANDS, ROWS = 36, 6
 LONGS = 8
 #: Standard deviations by which the sketch may miss before a pair is given up.
 SLACK = 5.5
-FEATURES = "doc_id {id}, n_shingles long, node long, " + ", ".join(f"s{i} long" for i in range(LONGS)) + ", bands array<long>"
+FEATURES = "doc_id long, tkey long, n_shingles long, node long, " + ", ".join(f"s{i} long" for i in range(LONGS)) + ", bands array<long>"
 
 _hash = Hasher(3)
 _rng = np.random.default_rng(36)
@@ -80,16 +79,17 @@ def most_bits(similarity: float) -> int:
 
 
 def featured(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType.fromDDL(FEATURES.format(id="long"))
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+    schema = T.StructType.fromDDL(FEATURES)
     schema = T.StructType([src.schema["doc_id"], *schema.fields[1:]])
 
     def run(batches):
         for b in batches:
-            sets = [s for _, s in shingle_sets(as_bytes(b.column(1)), k)]
+            sets = [s for _, s in shingle_sets(as_bytes(b.column(2)), k)]
             got = [features(s) if len(s) else (0, [0] * LONGS, []) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.int64()),
+                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.int64()),
                 *[pa.array([g[1][i] for g in got], pa.int64()) for i in range(LONGS)], pa.array([g[2] for g in got], pa.list_(pa.int64())),
             ], names=schema.names)
 
@@ -144,21 +144,15 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100), carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per document.
-
-    Sets of distinct k-word shingles (a shorter text is one shingle); documents whose Jaccard similarity is at least
-    similarity[0] / similarity[1] are linked, component_id is the least doc_id linked to directly or not. Null and blank texts are
-    empty sets, linked with nothing. Null ids take part but are never the least; repeated rows are copies, and of ties each row with the least id
-    is kept. An empty table gives an empty one. Other columns are not read.
+def grouped(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, tkey, n_shingles, group): the rows of linked documents have one group, null for empty sets; tkey is the text's hash.
 
     Equal sets become one node first. MinHash bands propose pairs; links to one member of each bucket, another in each band, come first, so
     that large groups join up without pairs of all members. What remains are buckets whose members are in several components: there
     each member outside the bucket's largest component meets every member of another one. Each pair is first judged by odd sketches, then
     by whole sets. No pair that shares a band is left undecided unless its members are already joined.
     """
-    spark = docs.sparkSession
-    path = scratch(spark)
+    path = scratch(docs.sparkSession)
     num, den = similarity
     feats = stored(featured(docs, id_col, text_col, k), f"{path}/features")
     sets_ = feats.filter("n_shingles > 0")
@@ -188,11 +182,33 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     links = links.unionByName(confirmed(pairs, sketches, sets, num, den))
     links = stored(links, f"{path}/links2")
     comps = components(links, f"{path}/comps2")
+    every = feats.select("doc_id", "tkey", "n_shingles", "node").join(comps, "node", "left")
+    return every.select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("group"))
 
-    every = feats.select("doc_id", "n_shingles", "node").join(comps, "node", "left")
-    every = every.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")))
+
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per document.
+
+    Sets of distinct k-word shingles (a shorter text is one shingle); documents whose Jaccard similarity is at least
+    similarity[0] / similarity[1] are linked, component_id is the least doc_id linked to directly or not. Null and blank texts are
+    empty sets, linked with nothing. Null ids take part but are never the least; repeated rows are copies, and of ties each row with the least id
+    is kept. An empty table gives an empty one. Other columns are not read.
+    """
+    every = grouped(docs, id_col, text_col, k, similarity)
     least = every.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    every = every.drop("comp", "node").join(least, "group", "left")
+    every = every.join(least, "group", "left")
     every = every.withColumn("component_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return every.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
+
+def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The documents, all columns as they are, one row of each group: that with the least id, null ids last. Documents with empty sets all stay. Other cases as in linked()."""
+    every = grouped(docs, id_col, text_col, k, similarity)
+    key = F.xxhash64("doc_id", "tkey")
+    kept = every.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey")).alias("r")).select("r.*")
+    kept = kept.select(key.alias("_key"), F.lit(False).alias("_empty")).unionByName(every.filter("group is null").select(key.alias("_key"), F.lit(True).alias("_empty")).distinct())
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = row.withColumn("_key", F.xxhash64(f"row.{id_col}", F.xxhash64(F.col(f"row.{text_col}").cast("string"))))
+    # The join leaves rows dealt by the key, so the window needs no shuffle.
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return row.join(kept, "_key").withColumn("nth", nth).filter("nth = 1 or _empty").select("row.*")

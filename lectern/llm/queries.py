@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, langid, mixing, near, repeats, sharding, warc
+from lectern.llm import decontaminate, fingerprints, katz, langid, mixing, near, repeats, secrets, sharding, warc
 from lectern.llm.common import scratch, table
 
 
@@ -30,12 +30,28 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.held_out(F.col("doc_id"), 5, 1)
+    got = katz.scored(table(spark, sf_dir, "documents"), ~out)
+    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     d = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return sharding.shuffled(d).withColumn("law", F.lit("key")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return got.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(secrets.merged(F.col("base"), F.col("added"))).alias("spans"))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/warc"
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -51,7 +67,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_repeats, op3_near, op4_mix, op6_shard, op9_warc, op10_language)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_repeats, op3_near, op4_mix, op5_katz, op6_shard, op7_secrets, op8_fingerprint, op9_warc, op10_language)}
 
 
 WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"

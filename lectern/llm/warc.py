@@ -91,7 +91,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     best = keys.groupBy("sha1").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("k")).filter("k > 1 and best is not null").drop("k")
     best = keys.select("shard", "sha1").distinct().join(best, "sha1").select(F.col("shard").alias("in_shard"), "sha1", "best")
 
-    def roll(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def roll(key, left, right):
         best = dict(zip(right["sha1"].to_pylist(), right["best"].to_pylist(), strict=True))
         rows = zip(left["page_id"].to_pylist(), left["url"].to_pylist(), as_bytes(left["payload"]), strict=True)
         shard, out, at, size = key[0].as_py(), [], 0, 0
