@@ -34,14 +34,17 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(order.cast("long"), 32).bitwiseOR(F.hash(term, t.cast("long"), F.lit(k)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def fingerprints(d: DataFrame, keys: list[str], words: Column, samples: int = SAMPLES) -> DataFrame:
-    """One row per key with `signature`, an array of the least samples' names over the words weighted by their counts; an empty array without words."""
-    w = d.select(*keys, F.explode(words).alias("w"))
-    w = w.select(*keys, F.when(F.col("w") != "", F.xxhash64("w")).alias("term"))
-    w = w.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n")).select(*keys, "term", F.log(F.col("n").cast("double")).alias("weight"))
-    got = w.groupBy(*keys).agg(*[F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("weight"), k))).alias(f"s{k}") for k in range(samples)])
+def fingerprints(d: DataFrame, keys: list[str], words: Column, carry: list[str] = (), samples: int = SAMPLES) -> DataFrame:
+    """One row per key with `signature`, an array of the least samples' names over the words weighted by their counts (empty without
+    words), and the carried columns, which the key decides. Each key has a row of no term that alone holds these, so that counting handles narrow rows."""
+    w = d.select(*keys, *carry, F.explode(F.concat(F.array(F.lit("")), words)).alias("w"))
+    w = w.select(*keys, *[F.when(F.col("w") == "", F.col(c)).alias(c) for c in carry], F.when(F.col("w") != "", F.xxhash64("w")).alias("term"))
+    w = w.groupBy(*keys, *carry, "term").agg(F.count(F.lit(1)).alias("n"))
+    w = w.select(*keys, *carry, "term", F.log(F.col("n").cast("double")).alias("weight"))
+    mins = [F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("weight"), k))).alias(f"s{k}") for k in range(samples)]
+    got = w.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry], *mins)
     names = F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)])
-    return got.select(*keys, F.when(F.col("s0").isNotNull(), names).otherwise(F.array().cast("array<long>")).alias("signature"))
+    return got.select(*keys, *carry, F.when(F.col("s0").isNotNull(), names).otherwise(F.array().cast("array<long>")).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,12 +86,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) ->
     ghost = F.struct(F.col("before").alias("range"), F.lit(True).alias("ghost"))
     leads = F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("tkey") == F.col("fkey"))
     d = d.select("doc_id", "text", "tkey", F.explode(F.when(leads, F.array(own, ghost)).otherwise(F.array(own))).alias("at"))
-    d = d.select("at.*", "doc_id", "text", "tkey")
+    # As many partitions as ranges, so that none holds more words than fit in memory; all that follows stays in them.
+    d = d.select("at.*", "doc_id", "text", "tkey").repartition(len(cuts) + 1, "range")
     w = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "tkey")
     return d.select("range", F.row_number().over(w).alias("nth"), "ghost", "doc_id", "text", F.lead("text").over(w).alias("next"))
 
 
-def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, range_bytes: int = 8 << 20) -> DataFrame:
+def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, range_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per document.
 
     Terms are blank-separated words, A-Z lower-cased, weighted by their counts. The edited text has its last quarter (rounded down)
@@ -101,11 +105,11 @@ def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     part = lambda c, n: F.substring(F.col(c), F.lit(1), n)
     d = d.withColumn("edited", F.when(~F.col("ghost"), F.concat(part("text", (F.col("n_chars") - F.col("cut")).cast("int")), part("next", F.col("cut")))))
     words = lambda c: F.split(lowered(F.col(c)), BLANKS)
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.lit(None).cast("string").alias("sha"), words("text").alias("words")), F.struct(F.lit(1).alias("side"), F.sha2("edited", 256).alias("sha"), words("edited").alias("words")))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.lit(None).cast("binary").alias("sha"), words("text").alias("words")), F.struct(F.lit(1).alias("side"), F.unhex(F.sha2("edited", 256)).alias("sha"), words("edited").alias("words")))
     d = d.select("range", "nth", "ghost", "doc_id", "n_chars", F.explode(sides).alias("s")).filter("not ghost or s.side = 0")
-    keys = ["range", "nth", "ghost", "doc_id", "n_chars", "side", "sha"]
-    s = fingerprints(d.select("range", "nth", "ghost", "doc_id", "n_chars", "s.*"), keys, F.col("words"), samples)
+    d = d.select("range", "nth", "ghost", "doc_id", "n_chars", "s.*")
+    s = fingerprints(d, ["range", "nth", "side"], F.col("words"), ["ghost", "doc_id", "n_chars", "sha"], samples)
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
-    s = s.groupBy("range", "nth", "ghost", "doc_id", "n_chars").agg(pick("sha", 1).alias("edited_sha256"), pick("signature", 0).alias("mine"), pick("signature", 1).alias("other"))
+    s = s.groupBy("range", "nth").agg(*[F.max(c).alias(c) for c in ("ghost", "doc_id", "n_chars")], F.lower(F.hex(F.max("sha"))).alias("edited_sha256"), pick("signature", 0).alias("mine"), pick("signature", 1).alias("other"))
     s = s.withColumn("follower", F.lead("mine").over(Window.partitionBy("range").orderBy("nth"))).filter("not ghost")
     return s.select("doc_id", "n_chars", "edited_sha256", printed(F.col("mine")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("mine"), F.col("other")).alias("near_edited"), likeness(F.col("mine"), F.col("follower")).alias("near_next"))
