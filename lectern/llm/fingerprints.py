@@ -12,7 +12,6 @@ RANGES = 1 << 14
 BLANKS = WORD.replace("[^", "[")
 #: Samples of a fingerprint.
 SAMPLES = 24
-_SCALE = float(1 << 32)
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
@@ -23,28 +22,38 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     term and level in two documents as often as their generalised Jaccard similarity. Comparing ln(a) gives the same order.
     """
     h, g = F.xxhash64(F.lit(2 * k), term), F.xxhash64(F.lit(2 * k + 1), term)
-    uniform = lambda x: (x + 0.5) / F.lit(_SCALE)
-    high, low = lambda x: F.shiftrightunsigned(x, 32), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
-    r = -F.log(uniform(high(h)) * uniform(low(h)))
-    log_c = F.log(-F.log(uniform(high(g)) * uniform(low(g))))
-    b = uniform(F.hash(term, F.lit(k)).cast("long") + F.lit(1 << 31))
+    uniform = lambda x, bits: (x + 0.5) * F.lit(1 / float(1 << bits))
+    ones = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1))
+    r = -F.log(uniform(F.shiftrightunsigned(h, 43), 21) * uniform(ones(F.shiftrightunsigned(h, 22), 21), 21))
+    b = uniform(ones(h, 22), 22)
+    log_c = F.log(-F.log(uniform(F.shiftrightunsigned(g, 32), 32) * uniform(ones(g, 32), 32)))
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1)
-    order = F.floor((F.least(F.greatest(log_a, F.lit(-100.0)), F.lit(27.0)) + 100) * F.lit(float(1 << 24)))
-    return F.shiftleft(order.cast("long"), 32).bitwiseOR(F.hash(term, t.cast("long"), F.lit(k)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    order = ((F.least(F.greatest(log_a, F.lit(-100.0)), F.lit(27.0)) + 100) * F.lit(float(1 << 24))).cast("long")
+    return F.shiftleft(order, 32).bitwiseOR(ones(g.bitwiseXOR(t * F.lit(0x9E3779B1)), 32))
 
 
-def fingerprints(d: DataFrame, keys: list[str], words: Column, carry: list[str] = (), samples: int = SAMPLES) -> DataFrame:
-    """One row per key with `signature`, an array of the least samples' names over the words weighted by their counts (empty without
-    words), and the carried columns, which the key decides. Each key has a row of no term that alone holds these, so that counting handles narrow rows."""
-    w = d.select(*keys, *carry, F.explode(F.concat(F.array(F.lit("")), words)).alias("w"))
-    w = w.select(*keys, *[F.when(F.col("w") == "", F.col(c)).alias(c) for c in carry], F.when(F.col("w") != "", F.xxhash64("w")).alias("term"))
-    w = w.groupBy(*keys, *carry, "term").agg(F.count(F.lit(1)).alias("n"))
-    w = w.select(*keys, *carry, "term", F.log(F.col("n").cast("double")).alias("weight"))
+def fingerprints(d: DataFrame, keys: list[str], carry: list[str] = (), samples: int = SAMPLES) -> DataFrame:
+    """From rows of (keys, side 0 or 1, words): one row per key with `mine` and `other`, the least samples' names over the words of
+    either side weighted by their counts (empty without words), and the carried columns, which the key decides.
+
+    A term that weighs the same on both sides is sampled once for both. Each side has a row of no term that alone holds
+    the carried columns, so that counting handles narrow rows.
+    """
+    w = d.select(*keys, *carry, "side", F.explode(F.concat(F.array(F.lit("")), F.col("words"))).alias("w"))
+    w = w.select(*keys, *[F.when(F.col("w") == "", F.col(c)).alias(c) for c in carry], "side", F.when(F.col("w") != "", F.xxhash64("w")).alias("term"))
+    w = w.groupBy(*keys, *carry, "term").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
+    one = lambda side, n: F.struct(F.lit(side).alias("side"), F.col(n).alias("n"))
+    each = F.filter(F.when(F.col("a") == F.col("b"), F.array(one(2, "a"))).otherwise(F.array(one(0, "a"), one(1, "b"))), lambda x: x["n"] > 0)
+    w = w.select(*keys, *carry, "term", F.explode(each).alias("s")).select(*keys, *carry, "term", "s.side", F.log(F.col("s.n").cast("double")).alias("weight"))
     mins = [F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("weight"), k))).alias(f"s{k}") for k in range(samples)]
-    got = w.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry], *mins)
-    names = F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)])
-    return got.select(*keys, *carry, F.when(F.col("s0").isNotNull(), names).otherwise(F.array().cast("array<long>")).alias("signature"))
+    got = w.groupBy(*keys, "side").agg(*[F.max(c).alias(c) for c in carry], *mins)
+    found = F.when(F.col("s0").isNotNull(), F.array(*[f"s{k}" for k in range(samples)]))
+    got = got.select(*keys, *carry, "side", found.alias("s"))
+    got = got.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry], *[F.max(F.when(F.col("side") == i, F.col("s"))).alias(f"of{i}") for i in range(3)])
+    least = lambda i: F.coalesce(F.zip_with(f"of{i}", "of2", lambda x, y: F.least(x, y)), f"of{i}", "of2", F.array().cast("array<long>"))
+    names = lambda i: F.transform(least(i), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return got.select(*keys, *carry, names(0).alias("mine"), names(1).alias("other"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,8 +117,7 @@ def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sides = F.array(F.struct(F.lit(0).alias("side"), F.lit(None).cast("binary").alias("sha"), words("text").alias("words")), F.struct(F.lit(1).alias("side"), F.unhex(F.sha2("edited", 256)).alias("sha"), words("edited").alias("words")))
     d = d.select("range", "nth", "ghost", "doc_id", "n_chars", F.explode(sides).alias("s")).filter("not ghost or s.side = 0")
     d = d.select("range", "nth", "ghost", "doc_id", "n_chars", "s.*")
-    s = fingerprints(d, ["range", "nth", "side"], F.col("words"), ["ghost", "doc_id", "n_chars", "sha"], samples)
-    pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
-    s = s.groupBy("range", "nth").agg(*[F.max(c).alias(c) for c in ("ghost", "doc_id", "n_chars")], F.lower(F.hex(F.max("sha"))).alias("edited_sha256"), pick("signature", 0).alias("mine"), pick("signature", 1).alias("other"))
+    s = fingerprints(d, ["range", "nth"], ["ghost", "doc_id", "n_chars", "sha"], samples)
+    s = s.withColumn("edited_sha256", F.lower(F.hex("sha")))
     s = s.withColumn("follower", F.lead("mine").over(Window.partitionBy("range").orderBy("nth"))).filter("not ghost")
     return s.select("doc_id", "n_chars", "edited_sha256", printed(F.col("mine")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("mine"), F.col("other")).alias("near_edited"), likeness(F.col("mine"), F.col("follower")).alias("near_next"))
