@@ -66,12 +66,16 @@ class Hasher:
     """64-bit hashes of substrings: S[i] sums table[byte] * base**i modulo 2**64, so any [a, b) hashes to (S[b] - S[a]) / base**a."""
 
     def __init__(self, seed: int):
+        self.seed = seed
         rng = np.random.default_rng(seed)
         self.table = rng.integers(1, 2**64, 256, dtype=np.uint64)
         self.base = np.uint64(int(rng.integers(1, 2**60)) * 8 + 5)
         self.back = np.uint64(pow(int(self.base), -1, 2**64))
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    def __reduce__(self):
+        return Hasher, (self.seed,)
+
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
             size = max(n, 1 << 16)

@@ -95,10 +95,10 @@ def mixtures(ll: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: int, allowe
     return pi, np.add.reduceat(per, starts)
 
 
-def infer(model: Model, texts: list[bytes], rounds: int, penalty: float, most: int) -> list[tuple[str | None, float, list[tuple[str, float]]]]:
+def infer(langs: list[str], logs: np.ndarray, texts: list[bytes], rounds: int, penalty: float, most: int) -> list[tuple[str | None, float, list[tuple[str, float]]]]:
     """For each text its language, that language's share, and the mixture; (None, 0, []) where there are no words."""
     out: list = [(None, 0.0, [])] * len(texts)
-    if not model.langs:
+    if not langs:
         return out
     for first, data, ends in pieces(texts):
         slots, starts = grams(data)
@@ -106,9 +106,9 @@ def infer(model: Model, texts: list[bytes], rounds: int, penalty: float, most: i
             continue
         inside = np.flatnonzero(FOLD[data] != 32)[starts]
         doc_of = np.searchsorted(ends, inside, side="right")
-        ll = np.stack([np.add.reduceat(m[slots], starts) for m in model.logs], axis=1).astype(np.float64)
+        ll = np.stack([np.add.reduceat(m[slots], starts) for m in logs], axis=1).astype(np.float64)
         ids, head, doc = np.unique(doc_of, return_index=True, return_inverse=True)
-        n, k = len(ids), len(model.langs)
+        n, k = len(ids), len(langs)
         words = np.bincount(doc, minlength=n)
         pi, _ = mixtures(ll, doc, head, n, np.ones((n, k)), rounds)
         order = np.argsort(-pi, axis=1, kind="stable")
@@ -122,7 +122,7 @@ def infer(model: Model, texts: list[bytes], rounds: int, penalty: float, most: i
             best, best_pi = np.where(better, fit_, best), np.where(better[:, None], p, best_pi)
         for i, d in enumerate(ids):
             j = int(np.argmax(best_pi[i]))
-            out[first + d] = (model.langs[j], float(min(1.0, best_pi[i, j])), [(model.langs[x], float(best_pi[i, x])) for x in order[i] if best_pi[i, x] > 1e-6])
+            out[first + d] = (langs[j], float(min(1.0, best_pi[i, j])), [(langs[x], float(best_pi[i, x])) for x in order[i] if best_pi[i, x] > 1e-6])
     return out
 
 
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     taken; lang_pred is its largest and score that one's share. Null texts and texts without letters are `und` with score 0. A model without languages
     makes all `und`. Repeated rows get equal results; of very long texts every word counts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * MAX_LANGS floats at most
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))  # SLOTS * MAX_LANGS floats at most
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), has_letters(text).alias("ok"), *[F.col(c) for c in carry])
     schema = T.StructType([src.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))), *[src.schema[c] for c in carry]])
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def run(batches):
         for b in batches:
             ok = b.column(2).to_pylist()
-            got = infer(sent.value, [t if o else b"" for t, o in zip(as_bytes(b.column(1)), ok, strict=True)], rounds, penalty, most)
+            got = infer(*sent.value, [t if o else b"" for t, o in zip(as_bytes(b.column(1)), ok, strict=True)], rounds, penalty, most)
             mix = pa.array([[{"lang": x, "share": s} for x, s in g[2]] for g in got], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] or "und" for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), mix, *b.columns[3:]], names=schema.names)
 
