@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,11 @@ from lectern.llm.common import Hasher, as_bytes, mixed, packed, scratch, stored,
 
 #: Bands of rows each: a pair at Jaccard 0.8 shares no band with probability 2e-5, at 0.85 with 4e-8.
 BANDS, ROWS = 36, 6
-#: Bits of an odd sketch, in longs.
-LONGS = 8
+#: Bits of the odd sketch of the MinHash samples, and of that of the whole set, in longs.
+LONGS, WHOLE = 8, 16
 #: Standard deviations by which the sketch may miss before a pair is given up.
 SLACK = 5.5
-FEATURES = "doc_id long, tkey long, n_shingles long, node long, " + ", ".join(f"s{i} long" for i in range(LONGS)) + ", bands array<long>"
+FEATURES = "doc_id long, tkey long, n_shingles long, node long, " + ", ".join(f"s{i} long" for i in range(LONGS + WHOLE)) + ", bands array<long>"
 
 _hash = Hasher(3)
 _rng = np.random.default_rng(36)
@@ -58,16 +58,21 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mixed(np.array([total + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def parity(x: np.ndarray, longs: int) -> list[int]:
+    odd = np.bincount((x % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def features(s: np.ndarray) -> tuple[int, list[int], list[int]]:
-    """(node, odd sketch, band keys)."""
+    """(node, odd sketches, band keys). The second sketch folds the whole set: sets differ in as many elements at least as their sketches in bits."""
     m = mixed(minhashes(s))
-    flips = mixed(m + np.arange(1, len(m) + 1, dtype=np.uint64)) % np.uint64(64 * LONGS)
-    odd = np.packbits((np.bincount(flips.astype(np.int64), minlength=64 * LONGS) & 1).astype(np.uint8)).view(np.int64)
+    flips = mixed(m + np.arange(1, len(m) + 1, dtype=np.uint64))
+    odd = parity(flips, LONGS) + parity(s >> np.uint64(40), WHOLE)
     by = m.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + by[:, j])
-    return fingerprint(s), odd.tolist(), key.view(np.int64).tolist()
+    return fingerprint(s), odd, key.view(np.int64).tolist()
 
 
 def most_bits(similarity: float) -> int:
@@ -87,10 +92,10 @@ def featured(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             sets = [s for _, s in shingle_sets(as_bytes(b.column(2)), k)]
-            got = [features(s) if len(s) else (0, [0] * LONGS, []) for s in sets]
+            got = [features(s) if len(s) else (0, [0] * (LONGS + WHOLE), []) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.int64()),
-                *[pa.array([g[1][i] for g in got], pa.int64()) for i in range(LONGS)], pa.array([g[2] for g in got], pa.list_(pa.int64())),
+                *[pa.array([g[1][i] for g in got], pa.int64()) for i in range(LONGS + WHOLE)], pa.array([g[2] for g in got], pa.list_(pa.int64())),
             ], names=schema.names)
 
     return src.mapInArrow(run, schema)
@@ -107,14 +112,30 @@ def whole_sets(text: DataFrame, k: int) -> DataFrame:
     return text.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the (a, b), those near by sketch, then by den * intersection >= num * union on whole sets."""
-    a, b = (sketches.select(*[F.col(c).alias(f"{x}_{c}") for c in sketches.columns]) for x in "ab")
-    near = pairs.join(a, pairs["a"] == a["a_node"]).join(b, pairs["b"] == b["b_node"])
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(LONGS)])
-    sizes = F.least("a_n_shingles", "b_n_shingles") * den >= F.greatest("a_n_shingles", "b_n_shingles") * num
-    near = near.filter(sizes & (bits <= most_bits(num / den))).select("a", "b")
-    near = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+SKETCH = ["n_shingles", *[f"s{i}" for i in range(LONGS + WHOLE)]]
+
+
+def near_by_sketch(num: int, den: int) -> Column:
+    """Whether rows with a_ and b_ sketches may be near: by size, by the samples' sketch and, which never errs against a pair, by the sets' sketch."""
+    differ = lambda i, n: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_s{j}").bitwiseXOR(F.col(f"b_s{j}"))) for j in range(i, i + n)])
+    a, b = F.col("a_n_shingles"), F.col("b_n_shingles")
+    sizes = F.least(a, b) * den >= F.greatest(a, b) * num
+    return sizes & (differ(0, LONGS) <= most_bits(num / den)) & (differ(LONGS, WHOLE) * (den + num) <= (a + b) * (den - num))
+
+
+def named(sketches: DataFrame, x: str) -> DataFrame:
+    return sketches.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in SKETCH])
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, text: DataFrame, k: int, num: int, den: int, path: str) -> DataFrame:
+    """Of the (a, b), those with den * intersection >= num * union on whole sets, which are made of the texts (rep, text) again."""
+    pairs = stored(pairs, f"{path}/near")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("rep").alias("r")), "node"), f"{path}/wanted")
+    # One document of each node; where an id stands on several texts, those of other nodes drop out. The list grows with the input, so the join is the same at any size.
+    mine = text.join(wanted.select("r").distinct().hint("merge"), F.col("rep").eqNullSafe(F.col("r")), "left_semi")
+    sets = whole_sets(mine, k).join(wanted.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = stored(sets, f"{path}/sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for t in batches:
@@ -125,7 +146,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, num: int,
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return near.mapInArrow(run, "a long, b long")
+    return stored(both.mapInArrow(run, "a long, b long"), f"{path}/links")
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
@@ -156,32 +177,28 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: tup
     num, den = similarity
     feats = stored(featured(docs, id_col, text_col, k), f"{path}/features")
     sets_ = feats.filter("n_shingles > 0")
-    nodes = sets_.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n_shingles", "bands", *[f"s{i}" for i in range(LONGS)])).alias("f")).select("node", "rep", "f.*")
+    nodes = sets_.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n_shingles", "bands", *[f"s{i}" for i in range(LONGS + WHOLE)])).alias("f")).select("node", "rep", "f.*")
     nodes = stored(nodes, f"{path}/nodes")
     member = nodes.select("node", F.explode("bands").alias("band"))
     lead = member.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("lead"))).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "l.lead", "n")
     member = stored(member.join(lead, "band"), f"{path}/members")
     wanted = member.select("node").distinct()
-    sketches = nodes.join(wanted, "node", "left_semi").select("node", "rep", "n_shingles", *[f"s{i}" for i in range(LONGS)])
-    sketches = stored(sketches, f"{path}/sketches")
-    # One document of each node has its text read again; where an id stands on several texts, those of other nodes drop out.
-    rep = sketches.select(F.col("rep").alias("r"))
+    nodes = stored(nodes.join(wanted, "node", "left_semi").select("node", "rep", *SKETCH), f"{path}/sketches")
     text = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    sets = whole_sets(text.join(rep, text["rep"].eqNullSafe(rep["r"]), "left_semi"), k).join(sketches.select("node"), "node", "left_semi")
-    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), f"{path}/sets")
-    sketches = sketches.drop("rep")
 
     stars = member.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    links = stored(confirmed(stars, sketches, sets, num, den), f"{path}/links1")
-    comps = components(links, f"{path}/comps1")
+    near = stars.join(named(nodes, "a"), "a").join(named(nodes, "b"), "b").filter(near_by_sketch(num, den)).select("a", "b")
+    links = confirmed(near, nodes, text, k, num, den, f"{path}/1")
+    comps = components(links, f"{path}/1/comps")
     more = member.filter("n > 2").join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = more.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    more = stored(more.join(sizes.drop("parts"), "band"), f"{path}/rest")
-    out = more.filter("comp <> main").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    pairs = out.join(more, "band").filter("cx <> comp").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    links = links.unionByName(confirmed(pairs, sketches, sets, num, den))
-    links = stored(links, f"{path}/links2")
-    comps = components(links, f"{path}/comps2")
+    more = stored(more.join(sizes.drop("parts"), "band").join(nodes.drop("rep"), "node"), f"{path}/rest")
+    out = more.filter("comp <> main").select("band", F.col("comp").alias("a_comp"), F.col("node").alias("x"), *[F.col(c).alias(f"a_{c}") for c in SKETCH])
+    rest = more.select(F.col("band").alias("b_band"), F.col("comp").alias("b_comp"), F.col("node").alias("y"), *[F.col(c).alias(f"b_{c}") for c in SKETCH])
+    pairs = out.join(rest, (F.col("band") == F.col("b_band")) & (F.col("a_comp") != F.col("b_comp")) & near_by_sketch(num, den))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = links.unionByName(confirmed(pairs, nodes, text, k, num, den, f"{path}/2"))
+    comps = components(links, f"{path}/2/comps")
     every = feats.select("doc_id", "tkey", "n_shingles", "node").join(comps, "node", "left")
     return every.select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("group"))
 
