@@ -142,30 +142,29 @@ def spell(n: int) -> str:
     raise ValueError(n)
 
 
-_core = re.compile(r"^(\W*?)((?:\d+(?:,\d{3})+|\d+)?(?:\.\d+)*|[IVXLCDM]{2,})(%?)((?:[^\w%].*)?)$", re.S)
+_core = re.compile(r"^(\W*?)(?:((?:\d+(?:,\d{3})+|\d+)(?:\.\d+)*|(?:\.\d+)+|[IVXLCDM]{2,})(%?)|(%))((?:[^\w%].*)?)$", re.S)
 
 
 def spelled_word(word: str | None) -> str | None:
-    """A number, Roman or decimal or percentage, in words, with what stands around it; other words as they are."""
-    if word is None:
-        return None
-    m = _core.match(word)
-    if not m or not (m[2] or m[3]) or m[1].endswith("%"):
+    """A number, Roman or decimal or percentage, in words, with what stands around it; other words, and numbers of over 15 digits, as they are."""
+    m = _core.match(word) if word is not None else None
+    if not m:
         return word
-    lead, body, percent, tail = m.groups()
-    if lead.endswith(".") and body[:1].isdigit():
-        lead, body = lead[:-1], "." + body
-    if body[:1] in ROMAN:
+    lead, body, percent, alone, tail = m.groups()
+    out = []
+    if body and body[0] in ROMAN:
         total = most = 0
         for d in (ROMAN[c] for c in reversed(body)):
             total, most = (total - d if d < most else total + d), max(most, d)
-        out = spell(total) if total else "zero"
-    else:
+        out.append(spell(max(total, 0)))
+    elif body:
         parts = body.replace(",", "").split(".")
         if any(len(p) > 15 for p in parts):
             return word
-        out = " point ".join(spell(int(p)) if p else "" for p in parts).strip()
-    return lead + " ".join(x for x in (out, "percent" if percent else "") if x) + tail
+        out.append(" point ".join(spell(int(p)) if p else "" for p in parts).strip())
+    if percent or alone:
+        out.append("percent")
+    return lead + " ".join(out) + tail
 
 
 @F.pandas_udf(T.StringType())
