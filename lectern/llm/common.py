@@ -57,6 +57,14 @@ def source_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
+def parts(batches, most: int = 4 << 20):
+    """The Arrow batches in slices of about `most` bytes, so that what is made of one is small too."""
+    for b in batches:
+        rows = max(1, most * b.num_rows // max(b.nbytes, 1))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def as_bytes(column) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; null is empty."""
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import as_bytes
+from lectern.llm.common import as_bytes, parts
 
 #: In UTF-8 lower-cased by bytes.lower(): digits, a-z and everything beyond ASCII.
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -128,7 +128,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
+        for b in parts(batches):
             got = match(as_bytes(b.column(1)), cache)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([len(g[2]) for g in got], pa.int64()),
@@ -145,7 +145,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
+        for b in parts(batches):
             yield b.filter(pa.array([not hit for _, hit, _ in match(as_bytes(b.column(at)), cache)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import LOWER, as_bytes
+from lectern.llm.common import LOWER, as_bytes, parts
 
 #: Trigrams hash into so many counters per language, languages are so many at most: the model has a fixed largest size.
 SLOTS, MAX_LANGS = 1 << 16, 64
@@ -45,7 +45,7 @@ def counts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in parts(batches):
             texts, langs = as_bytes(b.column(1)), np.array(b.column(0).to_pylist(), dtype=object)
             for lang in set(langs):
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     schema = T.StructType([src.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))), *[src.schema[c] for c in carry]])
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             ok = b.column(2).to_pylist()
             got = infer(*sent.value, [t if o else b"" for t, o in zip(as_bytes(b.column(1)), ok, strict=True)], rounds, penalty, most)
             mix = pa.array([[{"lang": x, "share": s} for x, s in g[2]] for g in got], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Hasher, as_bytes, mixed, packed, scratch, stored, word_spans
+from lectern.llm.common import Hasher, as_bytes, mixed, packed, parts, scratch, stored, word_spans
 
 #: Bands of rows each: a pair at Jaccard 0.8 shares no band with probability 2e-5, at 0.85 with 4e-8.
 BANDS, ROWS = 36, 6
@@ -90,7 +90,7 @@ def featured(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     schema = T.StructType([src.schema["doc_id"], *schema.fields[1:]])
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             sets = [s for _, s in shingle_sets(as_bytes(b.column(2)), k)]
             got = [features(s) if len(s) else (0, [0] * (LONGS + WHOLE), []) for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -105,7 +105,7 @@ def whole_sets(text: DataFrame, k: int) -> DataFrame:
     """(node, shingles): each text's whole set as bytes, with its node."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             sets = [s for _, s in shingle_sets(as_bytes(b.column(0)), k)]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, text: DataFrame, k: int, num:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
-        for t in batches:
+        for t in parts(batches):
             keep = []
             for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Hasher, as_bytes, mixed, scratch, stored
+from lectern.llm.common import parts as slices
 
 #: Bytes of an anchor's string, and suffixes in a small block.
 ANCHOR, SMALL = 64, 32
@@ -99,7 +100,7 @@ BLOCK = "doc_id {id}, tkey long, core long, whole long, anchor long, lo long, hi
 
 def blocks(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for i, core, whole, p, lo, hi in anchor_blocks(as_bytes(b.column(2)), length):
                 rows = pa.array(i, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *[pa.array(x.view(np.int64)) for x in (core, whole)], *[pa.array(x, pa.int64()) for x in (p, lo, hi)]], names=["doc_id", "tkey", "core", "whole", "anchor", "lo", "hi"])
@@ -119,7 +120,7 @@ def small_blocks(rep: DataFrame, length: int) -> DataFrame:
     """Cuts each block at every SMALL-th distance from its anchor, the same in all documents."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, anchors, los, his, data = (b.column(i).to_pylist() for i in range(5))
             out: list[list] = [[] for _ in range(5)]
             for i, p, lo, hi, t in zip(ids, anchors, los, his, data, strict=True):
@@ -142,7 +143,7 @@ def suffixes(rep: DataFrame, small: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         half = length // 2
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], []]
             for i, t, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = np.frombuffer(t, dtype=np.uint8)
@@ -227,7 +228,7 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        for x in batches:
+        for x in slices(batches):
             out: list[list] = [[] for _ in range(5)]
             for t, parts in zip(as_bytes(x.column(0)), x.column(1).to_pylist(), strict=True):
                 for p in parts:
@@ -249,7 +250,7 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spans = spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
 
     def keep(batches):
-        for x in batches:
+        for x in slices(batches):
             sizes, gone, n, kept = [], [], [], []
             for t, parts in zip(as_bytes(x.column(1)), x.column(2).to_pylist(), strict=True):
                 cuts: list[list[int]] = []
