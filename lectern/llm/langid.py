@@ -158,7 +158,14 @@ def held_out(id_: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def identified(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents, all columns as they are, in which some language was found."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return predict(row, model, id_col=f"row.{id_col}", text_col=f"row.{text_col}", carry=["row"], **how).filter("lang_pred <> 'und'").select("row.*")
+def identified(docs: DataFrame, model: Model, *, text_col: str = "text", rounds: int = 12, penalty: float = 2.0, most: int = 3) -> DataFrame:
+    """The documents, all columns as they are, in which some language was found. Cases as in predict()."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
+    at = docs.columns.index(text_col)
+    known = docs.filter(has_letters(F.col(text_col).cast("string")))
+
+    def run(batches):
+        for b in parts(batches):
+            yield b.filter(pa.array([g[0] is not None for g in infer(*sent.value, as_bytes(b.column(at)), rounds, penalty, most)], pa.bool_()))
+
+    return known.mapInArrow(run, docs.schema)
