@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +60,20 @@ def source_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
-def parts(batches, most: int = 4 << 20):
+def parts(batches, most: int = 2 << 20):
     """The Arrow batches in slices of about `most` bytes, so that what is made of one is small too."""
     for b in batches:
         rows = max(1, most * b.num_rows // max(b.nbytes, 1))
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    released()
+
+
+def released() -> None:
+    """Gives freed memory back, as a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def as_bytes(column) -> list[bytes]:

@@ -13,7 +13,7 @@ from lectern.llm.common import LOWER, as_bytes, parts
 #: Trigrams hash into so many counters per language, languages are so many at most: the model has a fixed largest size.
 SLOTS, MAX_LANGS = 1 << 16, 64
 #: Bytes at work at a time; longer texts go alone.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Digits, ASCII punctuation and blanks separate words; other bytes are kept, A-Z lower-cased.
 FOLD = np.where((np.arange(256) >= 128) | ((LOWER >= 97) & (LOWER <= 122)), LOWER, 32).astype(np.uint8)
 
