@@ -95,7 +95,7 @@ def test_nearest_match_is_least(needle, text):
 
 
 def test_alignment_is_monotone():
-    units = ["One two three.", "Missing words here entirely.", "Four five six.", "Seven ate nine."]
+    units = ["One two three.", "Missing words here entirely.", "Four five six.", "Seven eigt nine."]
     heard, at = [], 0
     for s in ["One two three.", "Four five six.", "Seven eight nine."]:
         heard.append((s, at))
