@@ -45,8 +45,9 @@ def fingerprints(d: DataFrame, keys: list[str], carry: list[str] = (), samples:
     w = w.groupBy(*keys, *carry, "term").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
     one = lambda side, n: F.struct(F.lit(side).alias("side"), F.col(n).alias("n"))
     each = F.filter(F.when(F.col("a") == F.col("b"), F.array(one(2, "a"))).otherwise(F.array(one(0, "a"), one(1, "b"))), lambda x: x["n"] > 0)
-    w = w.select(*keys, *carry, "term", F.explode(each).alias("s")).select(*keys, *carry, "term", "s.side", F.log(F.col("s.n").cast("double")).alias("weight"))
-    mins = [F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("weight"), k))).alias(f"s{k}") for k in range(samples)]
+    w = w.select(*keys, *carry, "term", F.explode(each).alias("s")).select(*keys, *carry, "term", "s.side", F.when(F.col("term").isNotNull(), F.log(F.col("s.n").cast("double"))).alias("weight"))
+    # Rows of no term have no weight, so no sample; no condition around a sample, so that its parts are computed once each.
+    mins = [F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(samples)]
     got = w.groupBy(*keys, "side").agg(*[F.max(c).alias(c) for c in carry], *mins)
     found = F.when(F.col("s0").isNotNull(), F.array(*[f"s{k}" for k in range(samples)]))
     got = got.select(*keys, *carry, "side", found.alias("s"))
