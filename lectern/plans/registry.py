@@ -461,6 +461,14 @@ def missing_units(spark, d):
     return stats.missing(u, a, s).select(F.col("chapter_id").alias("doc_id"), "unit_id")
 
 
+@query(U + """ select doc_id, unit_id::int unit_id from u where not ((doc_id*5+unit_id)%4=0) and not ((doc_id+unit_id*3)%5=0)""")
+def missing_units_all(spark, d):
+    """Of all units, where missing_units takes every third; the aligned and the skipped ones stand in for tables."""
+    u = units(spark, d).withColumnRenamed("doc_id", "chapter_id")
+    a, s = u.filter((F.col("chapter_id") * 5 + F.col("unit_id")) % 4 == 0), u.filter((F.col("chapter_id") + F.col("unit_id") * 3) % 5 == 0)
+    return stats.missing(u, a, s).select(F.col("chapter_id").alias("doc_id"), "unit_id")
+
+
 @query(E + """ select track, round(coalesce(sum((event_id%100)::double*(case when "end">start then "end"-start end))/sum(case when "end">start then "end"-start end),0),6) confidence, list_sort(list_distinct(list(token))) kinds from e group by 1""")
 def weighted_confidence(spark, d):
     e = events(spark, d)
