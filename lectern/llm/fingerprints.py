@@ -11,7 +11,7 @@ from lectern.llm.common import WORD, lowered, source_bytes
 RANGES = 1 << 14
 BLANKS = WORD.replace("[^", "[")
 #: Samples of a fingerprint.
-SAMPLES = 24
+SAMPLES = 64
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:

@@ -1,5 +1,9 @@
 """Registered queries do the whole job: what their input holds reaches the operator."""
 
+import collections
+import random
+
+from lectern.llm import fingerprints
 from lectern.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +14,18 @@ def test_missing_units_of_all(spark):
     got = [(r.doc_id, r.unit_id) for r in registry.QUERIES["missing_units_all"](spark, SF).collect()]
     assert sorted(got) == sorted((c, u) for c, u in units if (c * 5 + u) % 4 and (c + u * 3) % 5)
     assert any((c + u) % 3 for c, u in got)
+
+
+def test_likeness_at_the_production_count(spark):
+    rng, pairs = random.Random(3), []
+    for k in range(300):
+        common = [f"{k}c{i}" for i in range(20) for _ in range(rng.choice((1, 1, 2, 5)))]
+        pairs.append([common + [f"{k}{side}{i}" for i in range(20) for _ in range(rng.choice((1, 1, 2, 3)))] for side in "ab"])
+    rows = spark.createDataFrame([(k, side, p[side]) for k, p in enumerate(pairs) for side in (0, 1)], "k int, side int, words array<string>")
+    got = {r.k: r for r in fingerprints.fingerprints(rows, ["k"]).collect()}
+    off = 0.0
+    for k, p in enumerate(pairs):
+        a, b = map(collections.Counter, p)
+        same = [x == y for x, y in zip(got[k].mine, got[k].other, strict=True)]
+        off += (sum(same) / len(same) - sum((a & b).values()) / sum((a | b).values())) ** 2
+    assert (off / len(pairs)) ** 0.5 < 0.075
