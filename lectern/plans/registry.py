@@ -357,10 +357,21 @@ def aligned_units(spark, d):
     return align.aligned(u, heard.select("chapter_id", "sent_idx", "text", "off_start"))
 
 
+def cased_words(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct blank-separated words of the texts as they are written: Roman numerals are capital."""
+    return read(spark, d, "documents").select(F.explode(F.split("text", r"[ \t\n\r]+")).alias("word")).filter("word <> ''").distinct()
+
+
 @query()
 def spelled_numbers(spark, d):
-    t = read(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word")).filter(F.col("word").rlike(r"\d|^[IVXLCDM]{2,}\b")).distinct()
-    return t.withColumn("spelled", tx.spelled(F.col("word")))
+    return cased_words(spark, d).withColumn("spelled", tx.spelled(F.col("word")))
+
+
+@query()
+def roman_words(spark, d):
+    """The texts' words that spelled_word reads as Roman numerals, marks around them aside."""
+    digits = F.regexp_extract("word", r"(?sU)^\W*?([IVXLCDM]{2,})%?(?:[^\w%].*)?$", 1)
+    return cased_words(spark, d).withColumn("value", tx.roman_value(digits)).filter("value is not null")
 
 
 @query()

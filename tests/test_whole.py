@@ -3,6 +3,7 @@
 import collections
 import random
 
+from lectern.functions import text as tx
 from lectern.llm import fingerprints
 from lectern.plans import registry
 
@@ -29,3 +30,12 @@ def test_likeness_at_the_production_count(spark):
         same = [x == y for x, y in zip(got[k].mine, got[k].other, strict=True)]
         off += (sum(same) / len(same) - sum((a & b).values()) / sum((a | b).values())) ** 2
     assert (off / len(pairs)) ** 0.5 < 0.075
+
+
+def test_numbers_of_the_texts(spark, tmp_path):
+    texts = ["Chapter XIV of\nMMXXV. had 7% or 100 % word I", "(XX) XI's xiv 42 ix", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {w: tx.spelled_word(w) for t in texts for w in (t or "").split()}
+    got = {r.word: r.spelled for r in registry.QUERIES["spelled_numbers"](spark, str(tmp_path)).collect()}
+    assert got == want and (got["XIV"], got["MMXXV."], got["%"]) == ("fourteen", "two thousand twenty-five.", "percent")
+    assert {r.word: r.value for r in registry.QUERIES["roman_words"](spark, str(tmp_path)).collect()} == {"XIV": 14, "MMXXV.": 2025, "(XX)": 20, "XI's": 11}
