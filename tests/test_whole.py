@@ -5,6 +5,7 @@ import random
 
 from lectern.functions import text as tx
 from lectern.llm import fingerprints
+from lectern.operators import similarity
 from lectern.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,23 @@ def test_numbers_of_the_texts(spark, tmp_path):
     got = {r.word: r.spelled for r in registry.QUERIES["spelled_numbers"](spark, str(tmp_path)).collect()}
     assert got == want and (got["XIV"], got["MMXXV."], got["%"]) == ("fourteen", "two thousand twenty-five.", "percent")
     assert {r.word: r.value for r in registry.QUERIES["roman_words"](spark, str(tmp_path)).collect()} == {"XIV": 14, "MMXXV.": 2025, "(XX)": 20, "XI's": 11}
+
+
+def test_passages_without_a_shared_gram(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(5, 9))) for _ in range(400)]
+    item = [words[i] for i in range(30)]
+    typos = [w[:2] + "z" + w[3:] if i % 5 == 2 else w for i, w in enumerate(item)]
+    noise = lambda n: " ".join(rng.choices(words[60:], k=n))
+    queries = [(1, " ".join(item)), (2, "lone heron"), (3, None), (4, "q"), (5, noise(8)), (6, " ".join(words[40:52]))]
+    texts = [(1, noise(40) + " " + " ".join(typos) + " " + noise(40)), (2, "a Lone  herron here"), (3, noise(60)), (4, None), (5, " ".join(words[38:60])), (6, "")]
+    got = similarity.located(*[spark.createDataFrame(x, f"{k} long, text string") for x, k in ((queries, "q"), (texts, "t"))], "q", "t").collect()
+    plain = lambda x: " ".join((x or "").lower().split())
+    want = {}
+    for q, needle in queries:
+        for t, text in texts:
+            n, h = plain(needle), plain(text)
+            m = similarity.nearest_match(n, h, max(1, len(n) // 10)) if n and h else None
+            if m:
+                want[q, t] = m[2]
+    assert {(r.q, r.t): r.distance for r in got} == want and len(got) == len(want) and {(1, 1), (2, 2), (6, 5)} <= set(want)
