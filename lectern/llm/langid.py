@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from lectern.llm.common import LOWER, as_bytes, parts
 
-#: Trigrams hash into so many counters per language, languages are so many at most: the model has a fixed largest size.
-SLOTS, MAX_LANGS = 1 << 16, 64
+#: Trigrams hash into so many counters per language; languages are broadcast so many at a time.
+SLOTS, BLOCK = 1 << 16, 64
 #: Bytes at work at a time; longer texts go alone.
 PIECE = 1 << 19
 #: Digits, ASCII punctuation and blanks separate words; other bytes are kept, A-Z lower-cased.
@@ -30,11 +30,11 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint32(16))[inside].astype(np.int64), np.flatnonzero(first[inside])
 
 
-def pieces(texts: list[bytes]):
-    """(first index, bytes, ends): texts joined by blanks, about PIECE bytes at a time."""
+def pieces(texts: list[bytes], most: int = PIECE):
+    """(first index, bytes, ends): texts joined by blanks, about `most` bytes at a time."""
     first, size = 0, 0
     for i, t in enumerate([*texts, None]):
-        if i > first and (t is None or size + len(t) > PIECE):
+        if i > first and (t is None or size + len(t) > most):
             yield first, np.frombuffer(b" ".join(texts[first:i]) + b" ", dtype=np.uint8), np.cumsum([len(x) + 1 for x in texts[first:i]])
             first, size = i, 0
         size += len(t or b"") + 1
@@ -68,15 +68,14 @@ class Model:
         self.logs = np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(rows: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_langs: int = MAX_LANGS) -> Model:
-    """Learns from every row with a language and a text, whole texts. Of more than max_langs languages, those with the most trigrams are kept."""
+def fit(rows: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> Model:
+    """Learns every language from every row with a language and a text, whole texts."""
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     c = counts(rows)
-    top = c.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    langs = sorted(r.lang for r in top.collect())
-    out = np.zeros((len(langs), SLOTS))
+    langs = sorted(r.lang for r in c.select("lang").distinct().collect())
+    out = np.zeros((len(langs), SLOTS), dtype=np.float32 if len(langs) > BLOCK else np.float64)
     at = {x: i for i, x in enumerate(langs)}
-    for r in c.filter(F.col("lang").isin(langs)).groupBy("lang").agg(F.collect_list("slot").alias("s"), F.collect_list("n").alias("n")).toLocalIterator():
+    for r in c.groupBy("lang").agg(F.collect_list("slot").alias("s"), F.collect_list("n").alias("n")).toLocalIterator():
         out[at[r.lang], r.s] = r.n  # SLOTS values at most
     return Model(langs, out)
 
@@ -95,50 +94,69 @@ def mixtures(ll: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: int, allowe
     return pi, np.add.reduceat(per, starts)
 
 
-def infer(langs: list[str], logs: np.ndarray, texts: list[bytes], rounds: int, penalty: float, most: int) -> list[tuple[str | None, float, list[tuple[str, float]]]]:
+def slack(ll: np.ndarray, doc: np.ndarray, starts: np.ndarray, words: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """How much any mixture's log likelihood can exceed that of pi at most: it is concave, and its steepest way leads to one language."""
+    like = np.exp(ll - ll.max(axis=1, keepdims=True))
+    gain = np.add.reduceat(like / np.maximum((pi[doc] * like).sum(axis=1, keepdims=True), 1e-300), starts, axis=0).max(axis=1)
+    return np.maximum(gain - words, 0) + 1e-6
+
+
+def infer(langs: list[str], logs: list[np.ndarray], texts: list[bytes], rounds: int, penalty: float) -> list[tuple[str | None, float, list[tuple[str, float]]]]:
     """For each text its language, that language's share, and the mixture; (None, 0, []) where there are no words."""
     out: list = [(None, 0.0, [])] * len(texts)
     if not langs:
         return out
-    for first, data, ends in pieces(texts):
+    for first, data, ends in pieces(texts, PIECE * BLOCK // max(len(langs), BLOCK)):
         slots, starts = grams(data)
         if not len(starts):
             continue
         inside = np.flatnonzero(FOLD[data] != 32)[starts]
         doc_of = np.searchsorted(ends, inside, side="right")
-        ll = np.stack([np.add.reduceat(m[slots], starts) for m in logs], axis=1).astype(np.float64)
+        ll = np.stack([np.add.reduceat(m[slots], starts) for block in logs for m in block], axis=1).astype(np.float64)
         ids, head, doc = np.unique(doc_of, return_index=True, return_inverse=True)
         n, k = len(ids), len(langs)
         words = np.bincount(doc, minlength=n)
-        pi, _ = mixtures(ll, doc, head, n, np.ones((n, k)), rounds)
+        pi, all_ = mixtures(ll, doc, head, n, np.ones((n, k)), rounds)
+        ceiling = all_ + slack(ll, doc, head, words, pi)
         order = np.argsort(-pi, axis=1, kind="stable")
-        best, best_pi = np.full(n, -np.inf), pi
-        for size in range(1, min(k, most) + 1):
-            allowed = np.zeros((n, k))
-            np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-            p, fit_ = mixtures(ll, doc, head, n, allowed, rounds if size > 1 else 1)
-            fit_ = fit_ - penalty * (size - 1) * np.log(words + 1)
-            better = fit_ > best
-            best, best_pi = np.where(better, fit_, best), np.where(better[:, None], p, best_pi)
+        best, best_pi = np.full(n, -np.inf), pi.copy()
+        for size in range(1, k + 1):
+            # The documents that a set of this size could still gain.
+            live = np.flatnonzero(ceiling - penalty * (size - 1) * np.log(words + 1) > best)
+            if not len(live):
+                break
+            mine = np.isin(doc, live)
+            at = np.searchsorted(live, doc[mine])
+            allowed = np.zeros((len(live), k))
+            np.put_along_axis(allowed, order[live, :size], 1.0, axis=1)
+            p, fit_ = mixtures(ll[mine], at, np.searchsorted(at, np.arange(len(live))), len(live), allowed, rounds if size > 1 else 1)
+            fit_ = fit_ - penalty * (size - 1) * np.log(words[live] + 1)
+            better = fit_ > best[live]
+            best[live], best_pi[live] = np.where(better, fit_, best[live]), np.where(better[:, None], p, best_pi[live])
         for i, d in enumerate(ids):
             j = int(np.argmax(best_pi[i]))
             out[first + d] = (langs[j], float(min(1.0, best_pi[i, j])), [(langs[x], float(best_pi[i, x])) for x in order[i] if best_pi[i, x] > 1e-6])
     return out
 
 
+def broadcast(docs: DataFrame, model: Model) -> list:
+    """The model's rows, SLOTS * BLOCK floats at most in each."""
+    return [docs.sparkSession.sparkContext.broadcast(model.logs[i : i + BLOCK]) for i in range(0, len(model.langs), BLOCK)]
+
+
 def has_letters(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12, penalty: float = 2.0, most: int = 3, carry: list[str] = ()) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12, penalty: float = 2.0, carry: list[str] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, mixture, *carry), one row per document, where it is read.
 
-    A document's words come from one language each, in proportions that EM finds. Of the sets of the 1 to `most`
-    likeliest languages, the one with the greatest log likelihood less penalty * log(words) for each further language is
+    A document's words come from one language each, in proportions that EM finds. Of the sets of the
+    likeliest languages, of any size, the one with the greatest log likelihood less penalty * log(words) for each further language is
     taken; lang_pred is its largest and score that one's share. Null texts and texts without letters are `und` with score 0. A model without languages
     makes all `und`. Repeated rows get equal results; of very long texts every word counts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))  # SLOTS * MAX_LANGS floats at most
+    sent, model_langs = broadcast(docs, model), model.langs
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), has_letters(text).alias("ok"), *[F.col(c) for c in carry])
     schema = T.StructType([src.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))), *[src.schema[c] for c in carry]])
@@ -146,7 +164,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def run(batches):
         for b in parts(batches):
             ok = b.column(2).to_pylist()
-            got = infer(*sent.value, [t if o else b"" for t, o in zip(as_bytes(b.column(1)), ok, strict=True)], rounds, penalty, most)
+            got = infer(model_langs, [x.value for x in sent], [t if o else b"" for t, o in zip(as_bytes(b.column(1)), ok, strict=True)], rounds, penalty)
             mix = pa.array([[{"lang": x, "share": s} for x, s in g[2]] for g in got], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] or "und" for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), mix, *b.columns[3:]], names=schema.names)
 
@@ -158,14 +176,14 @@ def held_out(id_: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def identified(docs: DataFrame, model: Model, *, text_col: str = "text", rounds: int = 12, penalty: float = 2.0, most: int = 3) -> DataFrame:
+def identified(docs: DataFrame, model: Model, *, text_col: str = "text", rounds: int = 12, penalty: float = 2.0) -> DataFrame:
     """The documents, all columns as they are, in which some language was found. Cases as in predict()."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
+    sent, model_langs = broadcast(docs, model), model.langs
     at = docs.columns.index(text_col)
     known = docs.filter(has_letters(F.col(text_col).cast("string")))
 
     def run(batches):
         for b in parts(batches):
-            yield b.filter(pa.array([g[0] is not None for g in infer(*sent.value, as_bytes(b.column(at)), rounds, penalty, most)], pa.bool_()))
+            yield b.filter(pa.array([g[0] is not None for g in infer(model_langs, [x.value for x in sent], as_bytes(b.column(at)), rounds, penalty)], pa.bool_()))
 
     return known.mapInArrow(run, docs.schema)

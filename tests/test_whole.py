@@ -4,7 +4,7 @@ import collections
 import random
 
 from lectern.functions import text as tx
-from lectern.llm import fingerprints
+from lectern.llm import fingerprints, langid
 from lectern.operators import similarity
 from lectern.plans import registry
 
@@ -60,3 +60,16 @@ def test_passages_without_a_shared_gram(spark):
             if m:
                 want[q, t] = m[2]
     assert {(r.q, r.t): r.distance for r in got} == want and len(got) == len(want) and {(1, 1), (2, 2), (6, 5)} <= set(want)
+
+
+def test_every_language_counts(spark):
+    rng = random.Random(9)
+    own = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for i in range(70)}
+    line = lambda x, n: " ".join(rng.choices(own[x], k=n))
+    model = langid.fit(spark.createDataFrame([(x, line(x, 60 if x == "l69" else 90)) for x in own], "lang string, text string"))
+    assert model.langs == sorted(own)
+    mixed = ["l03", "l17", "l42", "l65", "l69"]
+    texts = [line("l69", 30), " ".join(line(x, 40) for x in mixed)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
+    assert got[0].lang_pred == "l69" and got[0].score > 0.95
+    assert {m.lang for m in got[1].mixture if m.share > 0.1} == set(mixed) and abs(got[1].score - 0.2) < 0.05
