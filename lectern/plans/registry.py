@@ -338,7 +338,14 @@ from (select *, regexp_replace(regexp_replace(q,'^[\s\p{P}]+',''),'[\s\p{P}]+$',
 def prefix_match_type(spark, d):
     q = F.when(F.col("turn") % 3 == 0, F.left("text", F.lit(20))).when(F.col("turn") % 3 == 1, F.concat(F.lit('"'), F.left("text", F.lit(20)), F.lit('"'))).otherwise("zzz")
     kind = similarity.prefix_match(q, F.col("text"))
-    return segments(spark, d).select("conv_id", "turn", F.when(kind != "ignoringAllPunctuation", kind).alias("match_type"))
+    return segments(spark, d).select("conv_id", "turn", kind.alias("match_type"))
+
+
+@query()
+def prefix_match_kinds(spark, d):
+    """Queries in capitals with commas in them, which only the last step of the cascade finds."""
+    q = F.upper(F.regexp_replace(F.left("text", F.lit(20)), " ", ", "))
+    return segments(spark, d).select("conv_id", "turn", q.alias("query"), "text", similarity.prefix_match(q, F.col("text")).alias("match_type"))
 
 
 @query(f"""with t as (select doc_id, [regexp_replace(x,'[^a-z]','','g') for x in {TOK}] w from documents), p as (select doc_id, unnest(w[:-2]) a, unnest(w[2:]) b from t where len(w)>1) select distinct a, b from p where a=b or (length(a)>=4 and length(b)>=3 and abs(length(a)-length(b))<=greatest(length(a)//4,1) and levenshtein(a,b)<=greatest(length(a)//4,1))""")

@@ -2,6 +2,8 @@
 
 import collections
 import random
+import re
+import unicodedata
 
 from lectern.functions import text as tx
 from lectern.llm import fingerprints, langid
@@ -73,3 +75,15 @@ def test_every_language_counts(spark):
     got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
     assert got[0].lang_pred == "l69" and got[0].score > 0.95
     assert {m.lang for m in got[1].mixture if m.share > 0.1} == set(mixed) and abs(got[1].score - 0.2) < 0.05
+
+
+def test_prefix_match_reaches_the_last_step(spark):
+    bare = lambda x: "".join(c for c in x if unicodedata.category(c)[0] != "P")
+    plain = lambda x: re.sub(r"\s+", " ", bare(x.lower()).strip(" "))
+    ends = lambda x: re.sub(r"^[\s!-/:-@\[-`{-~]+", "", x)
+    rows = registry.QUERIES["prefix_match_kinds"](spark, SF).collect()
+    for r in rows:
+        first = r.text.startswith(r.query) or r.text.startswith(" " + r.query) or ends(r.query).rstrip(" ,.") and ends(r.text).startswith(ends(r.query).rstrip(" ,.!?"))
+        if not first and "'" not in r.text:
+            assert r.match_type == ("ignoringAllPunctuation" if plain(r.query) and plain(r.text).startswith(plain(r.query)) else None)
+    assert any(r.match_type == "ignoringAllPunctuation" for r in rows)
