@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Maps A-Z to a-z and leaves every other byte alone.
@@ -28,8 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir (a local one where that is unset, as in tests); it goes when the driver's JVM ends."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local()
+    """A new folder's URI below spark.checkpoint.dir; it goes when the driver's JVM ends.
+
+    Where that is unset, a temporary folder if driver and executors are one process, else an error: files in a machine's own folder would be missed by others.
+    """
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = _local()
     path = f"{top.rstrip('/')}/lectern-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -50,6 +58,22 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_keys(rows: DataFrame, keys: list[str], size: Column, most: int, path: str) -> list:
+    """The least keys of each range, in order: the rows, sorted by their keys (nulls first), are cut where the sizes so far pass a multiple of `most`.
+
+    Exact, whatever the keys are: rows (keys, size) are dealt by sampled splitters and stored below path, and summed up in each part, on top of the parts
+    before. A range holds `most` and one row at most; keys that more rows share begin several ranges. One row for each range comes to the driver.
+    """
+    r = rows.select(*keys, size.cast("long").alias("n")).repartitionByRange(*keys).withColumn("pid", F.spark_partition_id())
+    r = stored(r, path)
+    sums = r.groupBy("pid").agg(F.sum("n").alias("of"))
+    base = sums.select(F.col("pid").alias("p"), (F.sum("of").over(Window.orderBy("pid")) - F.col("of")).alias("base"))  # one row a task
+    upto = F.sum("n").over(Window.partitionBy("pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    at = r.withColumn("upto", upto).join(F.broadcast(base), F.col("pid") == F.col("p"))
+    nth = F.floor((F.col("base") + F.col("upto") - F.col("n")) / F.lit(most))
+    return at.groupBy(nth.alias("nth")).agg(F.min(F.struct(*keys)).alias("k")).orderBy("nth").select("k.*").collect()
+
+
 def lowered(text: Column) -> Column:
     """A-Z to a-z and no other letter."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
