@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import scratch, stored
+
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: What the tests look at: as long as an access key or longer.
+#: What the tests look at: as long as an access key or longer. The marks in it (of base64, of UUIDs, of paths and identifiers) are left out of the tests.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+MARKS = r"[+/_-]"
+#: Characters at least that the tests need.
+LEAST = 16
 #: Elements whose running sums are added up at a time.
 CHUNK = 256
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: Encodings by name: what a token of it matches, and its alphabet in order.
+#: Encodings by name, the first that fits: what a token of it matches, and its alphabet in order. Decimal numbers are none.
 ENCODINGS = {
-    "base16": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", DIGIT + "abcdef"),
-    "base32": (r"^[A-Z2-7]+$", UPPER + "234567"),
-    "base36": (r"^(?:[0-9a-z]+|[0-9A-Z]+)$", DIGIT + LOWER),
-    "base62": (r"^[0-9A-Za-z]+$", UPPER + LOWER + DIGIT),
-    "base64": (r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGIT + "+/"),
-    "base64url": (r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGIT + "-_"),
+    "base16": (r"^(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$", DIGIT + "abcdef"),
+    "base26": (r"^(?:[a-z]+|[A-Z]+)$", LOWER),
+    "base32": (r"^(?=.*[A-Z])[A-Z2-7]+$", UPPER + "234567"),
+    "base36": (r"^(?=.*[a-zA-Z])(?:[0-9a-z]+|[0-9A-Z]+)$", DIGIT + LOWER),
+    "base52": (r"^[A-Za-z]+$", UPPER + LOWER),
+    "base62": (r"^(?=.*[a-zA-Z])[0-9A-Za-z]+$", UPPER + LOWER + DIGIT),
 }
+#: How identifiers go on from a capital, a small letter and a digit to each of these, and how they begin; the share of letters that follow no habit.
+GOES = ((0.45, 0.5, 0.05), (0.1, 0.85, 0.05), (0.2, 0.2, 0.6))
+BEGINS = (0.4, 0.5, 0.1)
+ANY = 0.1
+#: Bins of evidence for each power of e, and powers of e told apart.
+BINS, MOST = 8, 700
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+CANDIDATES = "array<struct<start:int,rank:int,end:int,evidence:double>>"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -67,18 +81,25 @@ def upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(z * 1.5976 + z * z * z * 0.07056))
 
 
-def battery(token: Column) -> Column:
-    """The p-value that the token's characters are independent and uniform over its inferred encoding's alphabet: thrice the least of
-    a chi-squared, a runs and a serial-correlation test. 0 where there is no encoding, or not both letters and digits."""
-    size = F.lit(0)
-    code = F.lit("")
+def encoding(token: Column) -> tuple[Column, Column]:
+    """(alphabet, its size) of the first encoding that fits; empty and 0 without one."""
+    size, code = F.lit(0), F.lit("")
     for pattern, alphabet in reversed(ENCODINGS.values()):
         hit = token.rlike(pattern)
-        size = F.when(hit, len(alphabet)).otherwise(size)
-        code = F.when(hit, F.lit(alphabet)).otherwise(code)
-    text = F.when(token.rlike(ENCODINGS["base16"][0]) | ~token.rlike("[a-z]") & ~token.rlike(ENCODINGS["base32"][0]), F.lower(token)).otherwise(token)
-    chars = F.split(text, "")
-    known = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (size > 0)
+        size, code = F.when(hit, len(alphabet)).otherwise(size), F.when(hit, F.lit(alphabet)).otherwise(code)
+    return code, size
+
+
+def folded(token: Column, code: Column) -> Column:
+    """The token in the case of its alphabet."""
+    return F.when(code.isin(DIGIT + "abcdef", LOWER, DIGIT + LOWER), F.lower(token)).otherwise(token)
+
+
+def battery(token: Column) -> Column:
+    """The p-value that the token's characters are independent and uniform over its inferred encoding's alphabet: thrice the least of
+    a chi-squared, a runs and a serial-correlation test. 0 where there is no encoding or too little to test."""
+    code, size = encoding(token)
+    chars = F.split(folded(token, code), "")
 
     def tests(x: Column) -> Column:
         n, a = F.size(x["c"]).cast("double"), x["a"].cast("double")
@@ -94,46 +115,92 @@ def battery(token: Column) -> Column:
         return F.least(F.lit(1.0), 3 * F.least(upper_tail(F.greatest(chi, F.lit(-8.0))), 2 * upper_tail(F.abs(runs)), 2 * upper_tail(F.abs(serial))))
 
     codes = F.transform(chars, lambda c: F.position(c, code) - 1)
-    return F.when(known, let(F.struct(codes.alias("c"), size.alias("a")), tests)).otherwise(0.0)
+    return F.when((size > 0) & (F.length(token) >= LEAST), let(F.struct(codes.alias("c"), size.alias("a")), tests)).otherwise(0.0)
 
 
-def random_spans(text: Column, base: Column, level: float, alpha: float, decay: float) -> Column:
-    """Spans of tokens, clear of the base spans, that pass the battery at `level` and the false-discovery control.
+def language(texts: DataFrame, text_col: str = "text") -> list[float]:
+    """Log probabilities of a letter after each letter, 26 rows of 26, and at a word's start, one row more, from all words of all texts.
 
-    A token of language passes by chance with a probability that falls with its length, exp(-decay * length) at most; failing tokens
-    count as 1. Over the document's tokens the Benjamini-Hochberg step-up at alpha decides which passes stand, so the more
-    tokens a document has, the longer a lone pass must be.
+    Words are counted before their letters are; 702 numbers come to the driver. A share of ANY goes to all letters alike, and so does everything where there are no words.
+    """
+    words = texts.select(F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    at = F.transform(F.split("w", ""), lambda c: F.ascii(c) - 97)
+    pairs = F.zip_with(F.concat(F.array(F.lit(26)), at), at, lambda p, c: p * 26 + c)  # the last has no letter behind it: null
+    seen = words.select(F.explode(pairs).alias("pair"), "n").filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    n = [0] * 27 * 26
+    for r in seen:
+        n[r.pair] = r.n
+    row = [sum(n[26 * i : 26 * i + 26]) for i in range(27)]
+    return [math.log((1 - ANY) * n[i] / row[i // 26] + ANY / 26) if row[i // 26] else -math.log(26) for i in range(27 * 26)]
+
+
+def evidence(token: Column, habits: list[float]) -> Column:
+    """The log of how much likelier the token is as characters drawn uniformly from its encoding's alphabet than as an identifier.
+
+    An identifier goes from small letters to capitals and digits as GOES says and from letter to letter as the habits of the language do. Its probabilities sum to 1, so
+    an identifier reaches evidence x with a probability of exp(-x) at most, at any length; each character of a random token adds to it.
     """
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    found = F.arrays_zip(matches(text, TOKEN, len(KINDS) - 1).alias("span"), tokens.alias("token"))
+    code, size = encoding(token)
+    kinds = F.transform(F.split(F.translate(token, UPPER + LOWER + DIGIT, "0" * 26 + "1" * 26 + "2" * 10), ""), lambda c: c.cast("int"))
+    letters = F.transform(F.split(F.lower(token), ""), lambda c: F.ascii(c) - 97)  # a digit's is negative
+    numbers = lambda xs: F.from_json(F.lit(json.dumps(xs)), "array<double>")  # noqa: E731  one literal
+
+    def likelier(x: Column) -> Column:
+        k, c = x["k"], x["c"]
+        step = F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k)), lambda p, q: F.get(numbers([math.log(g) for row in GOES for g in row]), p * 3 + q))
+        habit = F.zip_with(F.concat(F.array(F.lit(-1)), F.slice(c, F.lit(1), F.size(c) - 1)), c, lambda p, q: F.when(q < 0, -math.log(10)).otherwise(F.get(numbers(habits), F.when(p < 0, 26).otherwise(p) * 26 + q)))
+        said = F.aggregate(F.concat(step, habit), F.get(numbers([math.log(b) for b in BEGINS]), F.get(k, 0)), lambda s, y: s + y)
+        return -F.size(c) * F.log(x["a"].cast("double")) - said
+
+    return F.when((size > 0) & (F.length(token) >= LEAST), let(F.struct(kinds.alias("k"), letters.alias("c"), size.alias("a")), likelier)).otherwise(-1.0)
+
+
+def candidates(text: Column, base: Column, habits: list[float], level: float) -> Column:
+    """Tokens clear of the base spans with their evidence: -1 for those that the battery rejects at `level`."""
+    tokens = F.regexp_replace(F.array_join(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), " "), MARKS, "")
+    found = F.arrays_zip(matches(text, TOKEN, len(KINDS) - 1).alias("span"), F.split(tokens, " ").alias("token"))
 
     def clear(found: Column) -> Column:
         free = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])))
-        weighed = F.transform(free, lambda x: F.struct(F.when(battery(x["token"]) >= level, F.exp(F.length(x["token"]) * F.lit(-decay))).otherwise(1.0).alias("q"), x["span"].alias("span")))
-        return let(F.array_sort(weighed), step_up)
+        return F.transform(free, lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["rank"].alias("rank"), x["span"]["end"].alias("end"), F.when(battery(x["token"]) >= level, F.greatest(evidence(x["token"], habits), F.lit(-1.0))).otherwise(-1.0).alias("evidence")))
 
-    def step_up(w: Column) -> Column:
-        below = F.filter(F.transform(w, lambda x, i: F.when(x["q"] <= F.lit(alpha) * (i + 1) / F.size(w), x["q"])), lambda q: q.isNotNull())
-        return let(F.coalesce(F.array_max(below), F.lit(-1.0)), lambda cut: F.transform(F.filter(w, lambda x: x["q"] <= cut), lambda x: x["span"]))
+    return F.when(text.rlike(TOKEN), let(found, clear)).otherwise(F.array().cast(CANDIDATES))
 
-    return F.when(text.rlike(TOKEN), let(found, clear)).otherwise(F.array().cast(SPAN))
 
+def least_evidence(found: DataFrame, alpha: float) -> float:
+    """The evidence from which tokens stand, by the step-up of Benjamini and Hochberg on e-values over all tokens of all documents.
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", level: float = 0.01, alpha: float = 0.05, decay: float = 0.35) -> DataFrame:
+    With m tokens of which k reach evidence x, these stand if exp(x) >= m / (alpha * k); x is the least such. In expectation a share of alpha of them
+    at most are identifiers. Only a histogram of BINS * MOST bins comes to the driver.
+    """
+    bin_ = F.least(F.floor(F.col("e") * BINS), F.lit(BINS * MOST))
+    n = {r.bin: r.n for r in found.select(F.explode("found.evidence").alias("e")).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    m, k, cut = sum(n.values()), 0, math.inf
+    for b in sorted((b for b in n if b >= 0), reverse=True):
+        k += n[b]
+        if b / BINS >= math.log(m / (alpha * k)):
+            cut = b / BINS
+    return cut
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", level: float = 0.01, alpha: float = 0.05) -> DataFrame:
     """(doc_id, base, added), one row per document: arrays of (start, end, kind) by start and kind, in code points, ends exclusive.
 
     base has the matches of the patterns: assignments to names of secrets whose value has 6 characters or more (the
-    span is the whole match), access keys of 20, hexadecimal runs of 24; added has tokens that the randomness tests single out. Null and
-    empty texts have no spans. Repeated rows are each reported; whole texts are read, where they are, without a shuffle. Other
-    columns are not read.
+    span is the whole match), access keys of 20, hexadecimal runs of 24. added has tokens that pass for random by the battery and that are, by the false-discovery
+    control over all documents, no identifiers of the corpus's own language. Null and empty texts have no spans. Repeated rows are each reported; an empty table gives an
+    empty one. Whole texts are read twice, where they are: once to count words, once to find spans, which are stored below the shared folder.
+    Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    t = F.col("text")
+    t, habits = F.col("text"), language(d)
     base = F.array_sort(F.concat(matches(t, ASSIGN, 0, 2, 6), matches(t, ACCESS, 1), matches(t, HEX, 2)))
-    both = let(base, lambda b: F.struct(b.alias("base"), random_spans(t, b, level, alpha, decay).alias("added")))
+    both = let(base, lambda b: F.struct(b.alias("base"), candidates(t, b, habits, level).alias("found")))
+    found = stored(d.select("doc_id", both.alias("s")).select("doc_id", "s.*"), f"{scratch(docs.sparkSession)}/spans")
+    cut = least_evidence(found, alpha)
     named = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind")))
-    return d.select("doc_id", both.alias("s")).select("doc_id", named(F.col("s.base")).alias("base"), named(F.array_sort("s.added")).alias("added"))
+    return found.select("doc_id", named(F.col("base")).alias("base"), named(F.array_sort(F.filter("found", lambda s: s["evidence"] >= F.lit(cut)))).alias("added"))
 
 
 def listed(spans: Column) -> Column:
@@ -146,8 +213,3 @@ def merged(base: Column, added: Column) -> Column:
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     keyed = F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-
-
-def redacted(text: Column, spans: Column, mark: str = "*") -> Column:
-    """The text with every span overwritten, code point by code point."""
-    return F.aggregate(spans, text, lambda t, s: F.overlay(t, F.repeat(F.lit(mark), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
