@@ -19,6 +19,8 @@ BANDS, ROWS = 36, 6
 LONGS, WHOLE = 8, 16
 #: Standard deviations by which the sketch may miss before a pair is given up.
 SLACK = 5.5
+#: Members of a bucket, outside its main component, that meet the others in one task.
+SALT = 256
 FEATURES = "doc_id long, tkey long, n_shingles long, node long, " + ", ".join(f"s{i} long" for i in range(LONGS + WHOLE)) + ", bands array<long>"
 
 _hash = Hasher(3)
@@ -191,11 +193,12 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: tup
     links = confirmed(near, nodes, text, k, num, den, f"{path}/1")
     comps = components(links, f"{path}/1/comps")
     more = member.filter("n > 2").join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    sizes = more.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    sizes = more.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("parts"), F.ceil((F.sum("n") - F.max("n")) / SALT).cast("int").alias("salts")).filter("parts > 1")
     more = stored(more.join(sizes.drop("parts"), "band").join(nodes.drop("rep"), "node"), f"{path}/rest")
-    out = more.filter("comp <> main").select("band", F.col("comp").alias("a_comp"), F.col("node").alias("x"), *[F.col(c).alias(f"a_{c}") for c in SKETCH])
-    rest = more.select(F.col("band").alias("b_band"), F.col("comp").alias("b_comp"), F.col("node").alias("y"), *[F.col(c).alias(f"b_{c}") for c in SKETCH])
-    pairs = out.join(rest, (F.col("band") == F.col("b_band")) & (F.col("a_comp") != F.col("b_comp")) & near_by_sketch(num, den))
+    # Those outside the main component are dealt over salts, of which each has a copy of all members: however many share a band, a task meets SALT of them with the others.
+    out = more.filter("comp <> main").select("band", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.col("comp").alias("a_comp"), F.col("node").alias("x"), *[F.col(c).alias(f"a_{c}") for c in SKETCH])
+    rest = more.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.col("band").alias("b_band"), "b_salt", F.col("comp").alias("b_comp"), F.col("node").alias("y"), *[F.col(c).alias(f"b_{c}") for c in SKETCH])
+    pairs = out.join(rest, (F.col("band") == F.col("b_band")) & (F.col("salt") == F.col("b_salt")) & (F.col("a_comp") != F.col("b_comp")) & near_by_sketch(num, den))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.unionByName(confirmed(pairs, nodes, text, k, num, den, f"{path}/2"))
     comps = components(links, f"{path}/2/comps")
