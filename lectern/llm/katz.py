@@ -6,6 +6,9 @@ a flag for the one block that is to speak for a key. So an n-gram that all docum
 spread by hash, whatever is frequent. In the same way blocks then gather, for each context, how often it occurs, its discounted mass and the mass that
 its seen words have in the next shorter model; these give backoff weights that make each context's probabilities sum to 1. A last
 round scores every token, from single words up to the longest n-gram.
+
+The sums that parts come to are the model: tables of n-gram counts and of contexts' backoff weights, partitioned by order, a row for each part. It
+stays where train() writes it, and score() evaluates it on any documents.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Hasher, as_bytes, mixed, packed, scratch, source_bytes, stored, word_spans
+from lectern.llm.common import Hasher, as_bytes, mixed, packed, scratch, stored, word_spans
 
 #: Counts up to this are discounted by Good-Turing.
 CUTOFF = 5
@@ -26,7 +29,9 @@ _hash = Hasher(5)
 _FIRST, _LAST = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5B)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 ASKED = "kind int, part int, block int, keys binary, counts binary, sums binary"
-TOLD = "block int, kind int, part int, counts binary, sums binary, stats array<long>"
+TOLD = "block int, kind int, part int, keys binary, counts binary, sums binary, stats array<long>"
+#: Kind of the contexts of n-grams of order k, beyond k; blocks that stand for what a part tells the driver, and the model.
+CONTEXT, STATS, MODEL = 100, -1, -2
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -100,7 +105,7 @@ def arrow(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 ASKED_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary())])
-TOLD_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("sums", pa.binary()), ("stats", pa.list_(pa.int64()))])
+TOLD_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
 def answered(asked: DataFrame, sums: bool) -> DataFrame:
@@ -122,16 +127,22 @@ def answered(asked: DataFrame, sums: bool) -> DataFrame:
             alpha, scale = backoff(total, seen, lower)
             both = np.stack((alpha, scale), axis=1)[at]
             for i, a, b in zip(order, lens, lens[1:], strict=False):
-                out.append((blocks[int(i)], kind, part, squeezed(total[at[a:b]]), squeezed(both[a:b]), None))
+                out.append((blocks[int(i)], kind, part, None, squeezed(total[at[a:b]]), squeezed(both[a:b]), None))
+            had = total > 0
+            if had.any():
+                out.append((MODEL, kind, part, key_bytes(unique[had]), squeezed(total[had]), squeezed(np.stack((alpha, scale), axis=1)[had]), None))
         else:
             first = np.full(len(unique), len(at))
             has = np.flatnonzero(counts > 0)
             np.minimum.at(first, at[has], has)
             speaks = (first[at] == np.arange(len(at))).astype(np.uint8)
             for i, a, b in zip(order, lens, lens[1:], strict=False):
-                out.append((blocks[int(i)], kind, part, squeezed(total[at[a:b]]), squeezed(speaks[a:b]), None))
+                out.append((blocks[int(i)], kind, part, None, squeezed(total[at[a:b]]), squeezed(speaks[a:b]), None))
+            had = total > 0
+            if had.any():
+                out.append((MODEL, kind, part, key_bytes(unique[had]), squeezed(total[had]), None, None))
             of = np.bincount(np.minimum(total, CUTOFF + 2), minlength=CUTOFF + 3)
-            out.append((-1, kind, part, None, None, [int(total.sum()), int((total > 0).sum()), *map(int, of[1 : CUTOFF + 2])]))
+            out.append((STATS, kind, part, None, None, None, [int(total.sum()), int((total > 0).sum()), *map(int, of[1 : CUTOFF + 2])]))
         return arrow(out, TOLD_ARROW)
 
     return asked.groupBy("kind", "part").applyInArrow(add, TOLD)
@@ -193,7 +204,7 @@ def evaluated(b: Block, told: pa.Table, levels: list[Level], upto: int):
             one = levels[0]
             p = np.where(c > 0, one.scale * one.mass(c) / max(one.tokens, 1), one.unseen)
             continue
-        rows = sorted(got[100 + k], key=lambda r: r[0])
+        rows = sorted(got[CONTEXT + k], key=lambda r: r[0])
         total = np.concatenate([unsqueezed(r[1], np.int64) for r in rows])
         both = np.concatenate([unsqueezed(r[2], np.dtype((np.void, 16))).view(np.float64).reshape(-1, 2) for r in rows])
         ctx = np.unique(b.contexts[k - 2], return_inverse=True)[1]
@@ -201,65 +212,127 @@ def evaluated(b: Block, told: pa.Table, levels: list[Level], upto: int):
     return p, seen
 
 
-def scored(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score), one row per document.
+class Model:
+    """Tables below path: grams (kind, part, keys, counts), kind the order, and contexts (kind, part, keys, counts, sums), a row for each part of the keys; totals of each order."""
 
-    Learns from the rows where `train` holds (null does not) and scores all. Tokens are blank-separated words, A-Z
-    lower-cased, and one end per document; null and empty texts are that end alone. Words unknown in training share one class with the
-    discounted mass of single words. score is the sum of log10 probabilities under the Katz model, base_score that of add-half
-    single words. Without training rows every word is of the unknown class, of probability 1. Repeated rows count and are scored each. An empty table gives an empty one.
-    Other columns are not read. The blocks are a bucketed table below the shared folder that each round reads without a shuffle.
-    """
-    spark = docs.sparkSession
-    path, name = scratch(spark), f"lectern_{uuid.uuid4().hex}"
+    def __init__(self, path: str, levels: list[Level], parts: int):
+        self.path, self.levels, self.parts = path, levels, parts
+
+
+def prepared(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = source_bytes(docs, text_col)
-    blocks = max(1, -(-size // block_bytes))
-    parts = 1 << (blocks - 1).bit_length()
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
-    d.write.option("path", f"{path}/blocks").option("compression", "zstd").bucketBy(blocks, "block").saveAsTable(name)
-    d = spark.table(name)
-
-    def load(t: pa.Table) -> Block:
-        return Block(as_bytes(t["text"]), np.array(t["train"].to_pylist(), dtype=bool), order)
-
-    def counted(key, t):
-        b, block, rows = load(t), key[0].as_py(), []
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
+
+
+class Blocks:
+    """Documents dealt into blocks of about block_bytes by hash: a table of the session's catalog, bucketed by block so that each round reads it without a shuffle, some task_bytes to a bucket and a file."""
+
+    def __init__(self, d: DataFrame, path: str, block_bytes: int, task_bytes: int):
+        spark = d.sparkSession
+        size = d.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+        self.n, self.name = max(1, -(-size // block_bytes)), f"lectern_{uuid.uuid4().hex}"
+        buckets = max(1, -(-size // task_bytes))
+        most = "spark.sql.sources.bucketing.maxBuckets"
+        if buckets > int(spark.conf.get(most)):
+            spark.conf.set(most, buckets)
+        d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(self.n)).cast("int"))
+        # Dealt as the table is bucketed, so that a bucket is one file.
+        d.repartition(buckets, "block").write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(self.name)
+        self.rows = spark.table(self.name)
+
+    def drop(self) -> None:
+        self.rows.sparkSession.sql(f"drop table if exists {self.name}")
+
+
+def loaded(t: pa.Table, order: int) -> Block:
+    return Block(as_bytes(t["text"]), np.array(t["train"].to_pylist(), dtype=bool), order)
+
+
+def asking(order: int, parts: int, contexts: bool):
+    """A block's distinct keys with their training counts; with contexts, those of contexts too."""
+
+    def asked(key, t):
+        b, rows = loaded(t, order), []
         for k, g in enumerate(b.grams, 1):
             keys, at = np.unique(g, return_inverse=True)
-            rows += ask(k, block, parts, keys, np.bincount(at[b.train], minlength=len(keys)), [])
+            rows += ask(k, key[0].as_py(), parts, keys, np.bincount(at[b.train], minlength=len(keys)), [])
+        for k, g in enumerate(b.contexts if contexts else (), 2):
+            keys = np.unique(g)
+            rows += ask(CONTEXT + k, key[0].as_py(), parts, keys, np.zeros(len(keys)), [])
         return arrow(rows, ASKED_ARROW)
 
-    told = stored(answered(d.groupBy("block").applyInArrow(counted, ASKED), False), f"{path}/counts")
-    stats = told.filter("block = -1").select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).orderBy("kind", "pos").collect()
+    return asked
+
+
+def trained(blocks: Blocks, path: str, order: int) -> tuple[Model, DataFrame]:
+    """The model, its tables below path, and what its parts told each block."""
+    d, parts = blocks.rows, 1 << (blocks.n - 1).bit_length()
+    told = stored(answered(d.groupBy("block").applyInArrow(asking(order, parts, False), ASKED), False), f"{path}/told/grams")
+    table = told.filter(F.col("block") == MODEL).select("kind", "part", "keys", "counts")
+    table.write.partitionBy("kind").parquet(f"{path}/grams")
+    stats = told.filter(F.col("block") == STATS).select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).orderBy("kind", "pos").collect()
     levels = [Level([r.n for r in stats if r.kind == k] or [0] * (CUTOFF + 3)) for k in range(1, order + 1)]
     told = told.filter("block >= 0")
+
     def gather(k: int):
         def gathered(key, left, right):
             if not len(left):
                 return ASKED_ARROW.empty_table()
-            b = load(left)
+            b = loaded(left, order)
             p, seen = evaluated(b, right, levels, k - 1)
             first, _, counts, speaks = seen[k - 1]
             ctx, at = np.unique(b.contexts[k - 2], return_inverse=True)
             mine = np.flatnonzero(speaks)
             of, n = at[first[mine]], counts[mine]
             add = [np.bincount(of, weights=w, minlength=len(ctx)) for w in (n, levels[k - 1].mass(n), p[first[mine]])]
-            return arrow(ask(100 + k, key[0].as_py(), parts, ctx, add[0], add[1:]), ASKED_ARROW)
+            return arrow(ask(CONTEXT + k, key[0].as_py(), parts, ctx, add[0], add[1:]), ASKED_ARROW)
 
         return gathered
 
     for k in range(2, order + 1):
         asked = d.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(gather(k), ASKED)
-        more = answered(asked, True)
-        told = told.unionByName(stored(more, f"{path}/sums{k}") if k < order else more)
-    kind = d.schema["doc_id"].dataType.simpleString()
+        more = stored(answered(asked, True), f"{path}/told/contexts{k}")
+        more.filter(F.col("block") == MODEL).select("kind", "part", "keys", "counts", "sums").write.mode("append").partitionBy("kind").parquet(f"{path}/contexts")
+        told = told.unionByName(more.filter("block >= 0"))
+    return Model(path, levels, parts), told
+
+
+def looked_up(asked: DataFrame, model: Model) -> DataFrame:
+    """What the model's tables say to each block: counts of n-grams; counts, backoff weights and scales of contexts; 0, 1 and 1 for unknown ones."""
+    spark, order = asked.sparkSession, len(model.levels)
+    tables = spark.read.schema("kind int, part int, keys binary, counts binary").parquet(f"{model.path}/grams").withColumn("sums", F.lit(None).cast("binary"))
+    if order > 1:
+        tables = tables.unionByName(spark.read.schema("kind int, part int, keys binary, counts binary, sums binary").parquet(f"{model.path}/contexts"))
+
+    def answer(key, left, right):
+        kind, part = key[0].as_py(), key[1].as_py()
+        keys, total = (keys_of(right["keys"][0].as_py()), unsqueezed(right["counts"][0].as_py(), np.int64)) if len(right) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keys, total = np.append(keys, np.uint64(2**64 - 1)), np.append(total, 0)  # an end that nothing need find
+        both = None
+        if kind > CONTEXT:
+            both = np.ones((len(keys), 2))
+            if len(right):
+                both[:-1] = unsqueezed(right["sums"][0].as_py(), np.dtype((np.void, 16))).view(np.float64).reshape(-1, 2)
+        out = []
+        for block, b in zip(left["block"].to_pylist(), left["keys"].to_pylist(), strict=True):
+            mine = keys_of(b)
+            at = np.searchsorted(keys, mine)
+            hit = keys[at] == mine
+            sums = squeezed(np.where(hit[:, None], both[at], 1.0)) if both is not None else squeezed(np.zeros(len(mine), np.uint8))
+            out.append((block, kind, part, None, squeezed(np.where(hit, total[at], 0)), sums, None))
+        return arrow(out, TOLD_ARROW)
+
+    return asked.groupBy("kind", "part").cogroup(tables.groupBy("kind", "part")).applyInArrow(answer, TOLD)
+
+
+def summed(blocks: Blocks, told: DataFrame, levels: list[Level]) -> DataFrame:
+    """Each document's scores from what its block was told."""
+    order, kind = len(levels), blocks.rows.schema["doc_id"].dataType.simpleString()
 
     def score(key, left, right):
         if not len(left):
             return left.select(["doc_id", "train"]).append_column("n_tokens", pa.array([], pa.int64())).append_column("n_known", pa.array([], pa.int64())).append_column("base_score", pa.array([], pa.float64())).append_column("score", pa.array([], pa.float64()))
-        b = load(left)
+        b = loaded(left, order)
         p, seen = evaluated(b, right, levels, order)
         _, at, counts, _ = seen[0]
         c, n = counts[at], b.n_docs
@@ -267,5 +340,40 @@ def scored(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col:
         out = {"doc_id": left["doc_id"], "train": left["train"], "n_tokens": pa.array(np.bincount(b.doc, minlength=n)), "n_known": pa.array(np.bincount(b.doc, weights=c > 0, minlength=n).astype(np.int64))}
         return pa.table(out | {"base_score": pa.array(np.bincount(b.doc, weights=base, minlength=n)), "score": pa.array(np.bincount(b.doc, weights=np.log10(p), minlength=n))})
 
-    out = d.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(levels[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def train(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = 16 << 20, task_bytes: int = 32 << 20) -> Model:
+    """A model of all documents, its tables below path. Cases as in scored()."""
+    blocks = Blocks(prepared(docs, F.lit(True), id_col, text_col), f"{scratch(docs.sparkSession)}/blocks", block_bytes, task_bytes)
+    model, _ = trained(blocks, path, order)
+    blocks.drop()
+    return model
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, task_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of documents that the model need not have seen. Cases as in scored()."""
+    path = scratch(docs.sparkSession)
+    blocks = Blocks(prepared(docs, F.lit(False), id_col, text_col), f"{path}/blocks", block_bytes, task_bytes)
+    asked = blocks.rows.groupBy("block").applyInArrow(asking(len(model.levels), model.parts, True), ASKED)
+    got = stored(summed(blocks, looked_up(asked, model), model.levels).drop("train"), f"{path}/scores")
+    blocks.drop()
+    return got
+
+
+def scored(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = 16 << 20, task_bytes: int = 32 << 20, path: str | None = None) -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score), one row per document.
+
+    Learns from the rows where `train` holds (null does not) and scores all; the model's tables stay below path where one is given. Tokens are blank-separated words, A-Z
+    lower-cased, and one end per document; null and empty texts are that end alone. Words unknown in training share one class with the
+    discounted mass of single words. score is the sum of log10 probabilities under the Katz model, base_score that of add-half
+    single words. Without training rows every word is of the unknown class, of probability 1. Repeated rows count and are scored each. An empty table gives an empty one.
+    Other columns are not read. The documents go through the shuffle once, into blocks; the scores are stored below the shared folder.
+    """
+    where = scratch(docs.sparkSession)
+    blocks = Blocks(prepared(docs, train, id_col, text_col), f"{where}/blocks", block_bytes, task_bytes)
+    model, told = trained(blocks, path or f"{where}/model", order)
+    got = stored(summed(blocks, told, model.levels), f"{where}/scores")
+    blocks.drop()
+    return got
