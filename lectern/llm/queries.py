@@ -37,9 +37,9 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sharding.write(table(spark, sf_dir, "documents"), f"{scratch(spark)}/shards")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shuffled(d).withColumn("law", F.lit("key")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return got.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
