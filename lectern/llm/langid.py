@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,22 +64,21 @@ def counts(rows: DataFrame) -> DataFrame:
 class Model:
     """Log likelihoods of trigram slots, one row per language, add-half smoothed."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
+    def __init__(self, langs: list[str | None], counts: np.ndarray, logs: bool = False):
         self.langs = langs
-        c = counts + 0.5
-        self.logs = np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32)
+        c = counts if logs else counts + 0.5
+        self.logs = c if logs else np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(rows: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Learns every language from every row with a language and a text, whole texts."""
+    """Learns every language from every row with a language and a text, whole texts. One row of at most SLOTS counts for each language comes to the driver, one at a time."""
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    c = counts(rows)
-    langs = sorted(r.lang for r in c.select("lang").distinct().collect())
-    out = np.zeros((len(langs), SLOTS), dtype=np.float32 if len(langs) > BLOCK else np.float64)
-    at = {x: i for i, x in enumerate(langs)}
-    for r in c.groupBy("lang").agg(F.collect_list("slot").alias("s"), F.collect_list("n").alias("n")).toLocalIterator():
-        out[at[r.lang], r.s] = r.n  # SLOTS values at most
-    return Model(langs, out)
+    found = {}
+    for r in counts(rows).groupBy("lang").agg(F.collect_list("slot").alias("s"), F.collect_list("n").alias("n")).toLocalIterator():
+        found[r.lang] = n = np.zeros(SLOTS, dtype=np.float32)
+        n[r.s] = r.n
+    langs = sorted(found)
+    return Model(langs, np.stack([found[x] for x in langs]).astype(np.float64 if len(langs) <= BLOCK else np.float32) if langs else np.zeros((0, SLOTS)))
 
 
 def mixtures(ll: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: int, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +102,7 @@ def slack(ll: np.ndarray, doc: np.ndarray, starts: np.ndarray, words: np.ndarray
     return np.maximum(gain - words, 0) + 1e-6
 
 
-def infer(langs: list[str], logs: list[np.ndarray], texts: list[bytes], rounds: int, penalty: float) -> list[tuple[str | None, float, list[tuple[str, float]]]]:
+def infer(langs: list[str | None], logs: list[np.ndarray], texts: list[bytes], rounds: int, penalty: float) -> list[tuple[str | None, float, list[tuple[str | None, float]]]]:
     """For each text its language, that language's share, and the mixture; (None, 0, []) where there are no words."""
     out: list = [(None, 0.0, [])] * len(texts)
     if not langs:
@@ -176,14 +177,22 @@ def held_out(id_: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def identified(docs: DataFrame, model: Model, *, text_col: str = "text", rounds: int = 12, penalty: float = 2.0) -> DataFrame:
-    """The documents, all columns as they are, in which some language was found. Cases as in predict()."""
-    sent, model_langs = broadcast(docs, model), model.langs
+def identified(docs: DataFrame, model: Model, *, text_col: str = "text", langs: Collection[str] | None = None, least: float = 0.5, rounds: int = 12, penalty: float = 2.0) -> DataFrame:
+    """The documents, all columns as they are, in a language that is wanted.
+
+    Beside the model's languages a document's words may come from none of them, in which all trigrams are alike likely. It stays if the largest of these in its mixture is one of `langs` (any
+    of the model's where that is None) and holds a share of `least` at least; so null texts, texts without letters, texts of strange languages or of
+    random letters, and those that no language holds so much of go. A model without languages keeps nothing. Repeated rows get equal results; an empty table gives an empty one.
+    """
+    names = [*model.langs, None]
+    sent = broadcast(docs, Model(names, np.vstack([model.logs, np.full((1, SLOTS), -np.log(SLOTS), dtype=np.float32)]), True))
+    wanted = set(model.langs if langs is None else langs)
     at = docs.columns.index(text_col)
-    known = docs.filter(has_letters(F.col(text_col).cast("string")))
+    known = docs.filter(has_letters(F.col(f"`{text_col}`").cast("string")))
 
     def run(batches):
         for b in parts(batches):
-            yield b.filter(pa.array([g[0] is not None for g in infer(model_langs, [x.value for x in sent], as_bytes(b.column(at)), rounds, penalty)], pa.bool_()))
+            got = infer(names, [x.value for x in sent], as_bytes(b.column(at)), rounds, penalty)
+            yield b.filter(pa.array([lang in wanted and share >= least for lang, share, _ in got], pa.bool_()))
 
     return known.mapInArrow(run, docs.schema)
