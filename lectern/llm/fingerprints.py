@@ -122,7 +122,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) ->
     leads = F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("tkey") == F.col("fkey"))
     d = d.select("doc_id", "text", "tkey", F.explode(F.when(leads, F.array(own, ghost)).otherwise(F.array(own))).alias("at"))
     # As many partitions as ranges, so that none holds more words than fit in memory; all that follows stays in them.
-    d = d.select("at.*", "doc_id", "text", "tkey").repartition(n, "range")
+    # The filter is what the join in compared() would ask of one of its sides: with it both read the same exchange.
+    d = d.select("at.*", "doc_id", "text", "tkey").filter("range is not null").repartition(n, "range")
     w = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "tkey")
     d = d.select("range", F.row_number().over(w).alias("nth"), "ghost", "doc_id", "text", F.lead("text").over(w).alias("next"), F.lag("ghost").over(w).alias("more"))
     return d.filter("not ghost or not coalesce(more, false)").drop("more")  # rows equal to the one that leads make ghosts too
