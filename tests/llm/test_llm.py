@@ -291,8 +291,13 @@ def test_language(spark, docs, none):
     assert 0.55 < got[2].score < 0.78 and {m.lang for m in got[2].mixture} == {"de", "en"} and got[0].score > 0.95
     assert got[6].lang_pred in ("de", "en") and all(0 <= r.score <= 1 for r in got.values())
     assert langid.predict(none, model).count() == 0 and langid.predict(docs, langid.fit(none)).filter("lang_pred <> 'und'").count() == 0
-    kept = langid.identified(docs, model)
-    assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in ROWS)
+    assert langid.identified(none, model).count() == 0 and langid.identified(docs, langid.fit(none)).count() == 0
+    odd = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(40))
+    texts = [*texts, line("il la che di e non un per sono con", 60), odd, line(en, 50) + " " + line(de, 50) + " " + odd * 2]
+    kept = langid.identified(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, score string"), model)
+    assert kept.columns == ["doc_id", "text", "score"] and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+    assert [r.doc_id for r in langid.identified(kept, model, langs={"en"}).collect()] == [0]
+    assert langid.identified(docs, langid.fit(docs)).columns == docs.columns
 
 
 def test_held_out_accuracy(spark):
