@@ -1,12 +1,10 @@
 """Registered queries do the whole job: what their input holds reaches the operator."""
 
-import collections
 import random
 import re
 import unicodedata
 
 from lectern.functions import text as tx
-from lectern.llm import fingerprints, langid
 from lectern.operators import similarity
 from lectern.plans import registry
 
@@ -20,21 +18,6 @@ def test_missing_units_of_all(spark):
     assert any((c + u) % 3 for c, u in got)
 
 
-def test_likeness_at_the_production_count(spark):
-    rng, pairs = random.Random(3), []
-    for k in range(300):
-        common = [f"{k}c{i}" for i in range(20) for _ in range(rng.choice((1, 1, 2, 5)))]
-        pairs.append([common + [f"{k}{side}{i}" for i in range(20) for _ in range(rng.choice((1, 1, 2, 3)))] for side in "ab"])
-    rows = spark.createDataFrame([(k, side, p[side]) for k, p in enumerate(pairs) for side in (0, 1)], "k int, side int, words array<string>")
-    got = {r.k: r for r in fingerprints.fingerprints(rows, ["k"]).collect()}
-    off = 0.0
-    for k, p in enumerate(pairs):
-        a, b = map(collections.Counter, p)
-        same = [x == y for x, y in zip(got[k].mine, got[k].other, strict=True)]
-        off += (sum(same) / len(same) - sum((a & b).values()) / sum((a | b).values())) ** 2
-    assert (off / len(pairs)) ** 0.5 < 0.075
-
-
 def test_numbers_of_the_texts(spark, tmp_path):
     texts = ["Chapter XIV of\nMMXXV. had 7% or 100 % word I", "(XX) XI's xiv 42 ix", None, ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -64,19 +47,6 @@ def test_passages_without_a_shared_gram(spark):
     assert {(r.q, r.t): r.distance for r in got} == want and len(got) == len(want) and {(1, 1), (2, 2), (6, 5)} <= set(want)
 
 
-def test_every_language_counts(spark):
-    rng = random.Random(9)
-    own = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for i in range(70)}
-    line = lambda x, n: " ".join(rng.choices(own[x], k=n))
-    model = langid.fit(spark.createDataFrame([(x, line(x, 60 if x == "l69" else 90)) for x in own], "lang string, text string"))
-    assert model.langs == sorted(own)
-    mixed = ["l03", "l17", "l42", "l65", "l69"]
-    texts = [line("l69", 30), " ".join(line(x, 40) for x in mixed)]
-    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
-    assert got[0].lang_pred == "l69" and got[0].score > 0.95
-    assert {m.lang for m in got[1].mixture if m.share > 0.1} == set(mixed) and abs(got[1].score - 0.2) < 0.05
-
-
 def test_prefix_match_reaches_the_last_step(spark):
     bare = lambda x: "".join(c for c in x if unicodedata.category(c)[0] != "P")
     plain = lambda x: re.sub(r"\s+", " ", bare(x.lower()).strip(" "))
