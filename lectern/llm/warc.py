@@ -21,6 +21,8 @@ from lectern.llm.common import cut_keys, scratch
 
 #: The same for every run, so that equal input gives equal archives.
 DATE = "2020-01-01T00:00:00Z"
+#: Bytes that a reader inflates at a time.
+CHUNK = 1 << 14
 #: Bytes that a record counts besides its payload.
 HEAD = 512
 RECORD = T.StructType([
@@ -186,11 +188,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def records(data: bytes):
     """Every record of an archive of gzip members: (headers, block)."""
-    while data:
-        z = zlib.decompressobj(31)
-        whole = z.decompress(data) + z.flush()
-        data = z.unused_data
-        stream = io.BytesIO(whole)
+    at = 0
+    while at < len(data):
+        z, whole = zlib.decompressobj(31), []
+        while not z.eof and at < len(data):
+            whole.append(z.decompress(data[at : at + CHUNK]))
+            at += CHUNK
+        at -= len(z.unused_data) + max(0, at - len(data))
+        stream = io.BytesIO(b"".join(whole))
         while line := stream.readline():
             if not line.strip():
                 continue
