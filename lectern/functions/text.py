@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters that the normaliser maps to a plain one.
-SINGLE_QUOTES, DOUBLE_QUOTES, HYPHENS = "‘’‚‛", "“”„‟«»", "‐‑‒–−"
+SINGLE_QUOTES, DOUBLE_QUOTES, HYPHENS = "‘’‚‛", "“”„‟«»〝〞", "‐‑‒–"
 BAR, DASH, LEFT, RIGHT = "―", "—", "‹", "›"
 # Symbols that a unit may consist of without having anything to say, besides punctuation.
 SYMBOLS = "$+<=>^`|~"
@@ -98,6 +98,23 @@ def ngrams(words_: Column, n: int) -> Column:
     return once(words_, cut)
 
 
+def gram_offsets(words_: Column, n: int) -> Column:
+    """(pos, off) of every n consecutive words: the word and, with single blanks between words, the character at which they begin."""
+    lengths = lambda w: F.transform(w, lambda x: F.length(x) + 1)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    upto = lambda w: F.aggregate(lengths(w), start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    return once(words_, lambda w: F.transform(F.slice(upto(w), F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(0))), lambda off, i: F.struct(i.alias("pos"), off.alias("off"))))
+
+
+def occurrences(text: Column, needle: str) -> Column:
+    """Every place, overlapping ones too, at which the text has the needle: a lookahead cuts the text at each, and the pieces' lengths add up to them."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    pieces = F.split(text, f"(?={re.escape(needle)})", -1)
+    places = F.aggregate(pieces, start, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    # A cut at the very beginning leaves no empty piece before it.
+    return F.when(F.startswith(text, F.lit(needle)), places).otherwise(F.slice(places, F.lit(2), F.size(pieces)))
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
 
@@ -197,6 +214,60 @@ def escaped(text: Column) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")), text)
 
 
+def clamped(text: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end), both moved into the text."""
+    lo = F.greatest(F.least(start, F.length(text)), F.lit(0))
+    return F.substring(text, (lo + 1).cast("int"), F.greatest(F.least(end, F.length(text)) - lo, F.lit(0)).cast("int"))
+
+
+def head(text: Column, n: int = 128) -> Column:
+    return F.left(text, F.lit(n))
+
+
+def tail(text: Column, n: int = 128) -> Column:
+    return F.right(text, F.lit(n))
+
+
+def contains_any(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts], F.lit(False))
+
+
+def starts_blank(text: Column) -> Column:
+    return text.rlike(r"^\s")
+
+
+def ends_blank(text: Column) -> Column:
+    return text.rlike(r"\s\z")
+
+
+def all_digits(text: Column) -> Column:
+    return text.rlike(r"^[0-9]+\z")
+
+
+def has_text(text: Column) -> Column:
+    return text.rlike(r"\S")
+
+
+def relative_path(path: Column, base: Column) -> Column:
+    """The way from the folder `base` to the path, both with `/` between names and without one at the end."""
+
+    def way(p: Column) -> Column:
+        common = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p["b"]), F.lit(1))), lambda i: F.slice(p["a"], F.lit(1), i) == F.slice(p["b"], F.lit(1), i)), lambda same: same))
+        common = F.when(F.size(p["b"]) == 0, 0).otherwise(F.least(common, F.size(p["a"])))
+        return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(p["b"]) - common), F.slice(p["a"], common + 1, F.size(p["a"]))), "/")
+
+    names = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    return once(F.struct(names(path).alias("a"), names(base).alias("b")), way)
+
+
+#: Tokens of a speech recogniser that say nothing, beside all that begin with `[_`.
+SPECIAL = ("<unk>",)
+
+
+def special_token(token: Column) -> Column:
+    return F.startswith(token, F.lit("[_")) | token.isin(*SPECIAL)
+
+
 def without_fragment(href: Column) -> Column:
     return F.substring_index(href, "#", 1)
 

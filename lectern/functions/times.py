@@ -22,6 +22,11 @@ def seconds_of(text: Column) -> Column:
     return F.when(F.size(parts) == 1, n(1)).when(F.size(parts) == 2, n(1) * 60 + n(2)).when(F.size(parts) == 3, n(1) * 3600 + n(2) * 60 + n(3))
 
 
+def stamped(at: Column) -> tuple[Column, Column, Column]:
+    """A time as ISO 8601 in UTC, as part of a file's name, and as a clock's."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(at, "yyyyMMdd-HHmm"), F.date_format(at, "HH:mm:ss")
+
+
 def rounded(x: Column, places: int) -> Column:
     return F.round(x * 10**places) / 10**places
 

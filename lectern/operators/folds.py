@@ -7,8 +7,16 @@ from pyspark.sql import DataFrame
 
 # Seconds of a shared, a short and a fast span; words at most in a group.
 TAIL, NUDGE, SHORT, FAST, MOST_WORDS = 0.25, 0.001, 0.19, 0.15, 64
-# Function words that lean on the word after them.
-LEANING = frozenset("a an the and or but of to in on at by for from with as if that this his her its my your our their is was".split())
+# Function words that lean on the word after them, and other function words.
+LEANING = frozenset(("to", "of", "in", "on", "at", "by", "for", "from", "as", "with", "into", "than", "then", "that"))
+NEUTRAL = frozenset((
+    "a", "an", "the", "and", "or", "but", "this", "those", "these", "is", "am", "are", "was", "were", "be", "been", "being", "he", "she",
+    "it", "its", "his", "her", "their", "our", "your", "my", "me", "him", "them", "us", "you", "i",
+))
+# Marks that end a group; seconds of a short word, of a pause and of a group that is long enough, each also where times are unreliable; what makes a time unreliable or reliable again.
+MARKS = (".", "?", "!", ";", ":", "—", ",")
+SHORT_WORD, PAUSE, PAUSE_UNSURE, LONG, LONG_UNSURE = 0.3, 0.1, 0.35, 0.6, 2.0
+UNSURE_FOR, UNSURE_AT, SURE_FOR, SURE_AT = 0.04, 0.0, 0.25, 0.4
 
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], fold, schema) -> DataFrame:
@@ -100,44 +108,92 @@ def given_time(rows: list[dict], weight=lambda r: max(len(r["token"].strip()), 1
     return out
 
 
-def word_groups(rows: list[dict], pause: float = 0.3, long: float = 2.5) -> list[dict]:
-    """Words into spoken phrases: a pause, a long enough group with a mark, or MOST_WORDS ends one; then short groups join the neighbour
-    with which they come closest to SHORT, and a trailing function word moves on where both groups stay long enough."""
+def bare(word: str) -> str:
+    return "".join(c for c in word.lower() if c.isalnum() or c == "'").strip("'")
+
+
+def ends_group(word: str) -> bool:
+    return word.rstrip().endswith(MARKS)
+
+
+class _Unsure:
+    """Whether times are unreliable just now: so from a word that hardly lasts or has no confidence (but for a segment's first), until two reliable ones meet."""
+
+    def __init__(self):
+        self.on = False
+
+    def meets(self, a: dict, b: dict, a_first: bool, b_first: bool) -> bool:
+        """Takes in neighbours a and b; true if either is unreliable."""
+        doubt = any(x["end"] - x["start"] <= UNSURE_FOR or not first and x.get("time_conf", 1.0) <= UNSURE_AT for x, first in ((a, a_first), (b, b_first)))
+        sure = all(x["end"] - x["start"] >= SURE_FOR and x.get("time_conf", 1.0) >= SURE_AT for x in (a, b))
+        self.on = doubt or self.on and not sure
+        return doubt
+
+
+def _joins(a: dict, b: dict, length: float, n: int, unsure: bool, doubt: bool) -> bool:
+    """Whether word b goes on with the group of n words that ends with a; `length` is the group's with b."""
+    if n >= MOST_WORDS and not b.get("interpolated") or a.get("track") != b.get("track") or a.get("segment") != b.get("segment"):
+        return False
+    spans = [max(x["end"] - x["start"], 0.0) for x in (a, b)]
+    if ends_group(a["token"]) and min(spans) > 0:
+        return False
+    if doubt or a.get("interpolated") or b.get("interpolated"):
+        return True
+    if not 0 <= round(b["start"] - a["end"], 9) <= (PAUSE_UNSURE if unsure else PAUSE) or length >= (LONG_UNSURE if unsure else LONG):
+        return False
+    function = {bare(a["token"]), bare(b["token"])} & (LEANING | NEUTRAL)
+    return sum(spans) < LONG or min(spans) < SHORT_WORD and bool(function or unsure)
+
+
+def word_groups(rows: list[dict]) -> list[dict]:
+    """Words (token, start, end; also time_conf, segment, track and interpolated where there are) into spoken phrases.
+
+    Neighbours join while they are short, or one is short and one a function word, until the group is long enough, a pause or a mark comes, or MOST_WORDS are
+    reached. Where times are unreliable pauses and lengths may be longer, and unreliable or interpolated words always join. Then short groups join the neighbour with which they come
+    closest to SHORT, and a last word that leans on the next one, or follows a mark, moves on where both groups stay long enough.
+    """
     groups: list[list[dict]] = []
-    for r in rows:
+    state = _Unsure()
+    for i, r in enumerate(rows):
         if groups:
-            g = groups[-1]
-            gap = r["start"] - g[-1]["end"]
-            length = g[-1]["end"] - g[0]["start"]
-            marked = g[-1]["token"].rstrip()[-1:] in ",;:.!?—"
-            boosted = length >= long
-            if not (gap >= (pause / 2 if boosted else pause) or marked and length >= SHORT or len(g) >= MOST_WORDS):
+            g, last = groups[-1], rows[i - 1]
+            first = lambda k: k == 0 or rows[k - 1].get("segment") != rows[k].get("segment")
+            if len(g) == 1:
+                state = _Unsure()
+            doubt = state.meets(last, r, first(i - 1), first(i))
+            if _joins(last, r, r["end"] - g[0]["start"], len(g), state.on, doubt):
                 g.append(r)
                 continue
         groups.append([r])
     groups = _short_joined(groups)
     for a, b in zip(groups, groups[1:], strict=False):
-        lean = a[-1]["token"].strip().lower()
-        if len(a) > 1 and lean in LEANING and a[-2]["end"] - a[0]["start"] >= SHORT and b[-1]["end"] - b[0]["start"] >= SHORT:
-            b.insert(0, a.pop())
+        if len(a) > 1 and (bare(a[-1]["token"]) in LEANING or ends_group(a[-2]["token"])):
+            moved = max(a[-1]["end"] - a[-1]["start"], 0.0)
+            if a[-1]["end"] - a[0]["start"] - moved >= SHORT and b[-1]["end"] - b[0]["start"] + moved >= SHORT:
+                b.insert(0, a.pop())
     return [{**{k: v for k, v in g[0].items() if k not in ("token", "start", "end")}, "group_idx": i, "token": "".join(w["token"] for w in g), "start": g[0]["start"], "end": g[-1]["end"], "n_words": len(g)} for i, g in enumerate(groups)]
 
 
 def _short_joined(groups: list[list[dict]]) -> list[list[dict]]:
+    """Each short group joins, first to last: the one before it, as it has become, or the next, whichever alone reaches SHORT with it, else comes closer to that."""
     length = lambda g: g[-1]["end"] - g[0]["start"]
+    out: list[list[dict]] = []
     i = 0
-    while i < len(groups) and len(groups) > 1:
-        if length(groups[i]) >= SHORT:
-            i += 1
+    while i < len(groups):
+        g = groups[i]
+        rest = groups[i + 1] if i + 1 < len(groups) else None
+        i += 1
+        if length(g) >= SHORT or not out and rest is None:
+            out.append(g)
             continue
-        left = abs(length(groups[i - 1]) + length(groups[i]) - SHORT) if i else float("inf")
-        right = abs(length(groups[i]) + length(groups[i + 1]) - SHORT) if i + 1 < len(groups) else float("inf")
-        if left <= right:
-            groups[i - 1] += groups.pop(i)
-            i -= 1
+        # (falls short, distance) of joining either side; the earlier one wins ties.
+        sides = [((total := length(x) + length(g)) < SHORT, abs(total - SHORT)) if x is not None else (2, 0.0) for x in (out[-1] if out else None, rest)]
+        if sides[0] <= sides[1]:
+            out[-1] = out[-1] + g
         else:
-            groups[i] += groups.pop(i + 1)
-    return groups
+            out.append(g + rest)
+            i += 1
+    return out
 
 
 def shares(total: int, weights: list[float]) -> list[int]:

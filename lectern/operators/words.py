@@ -11,6 +11,8 @@ from lectern.operators.similarity import scores
 
 # Stamps that one word may take, and places looked ahead.
 SPAN, AHEAD = 3, 6
+# Words too common to be an anchor.
+STOP = frozenset(("a", "an", "in", "of", "to", "or", "as", "at", "is", "be", "it", "its"))
 
 
 def key(text: str) -> str:
@@ -21,7 +23,7 @@ def alike(a: str, b: str) -> bool:
     if not a or not b:
         return False
     if a == b:
-        return True
+        return a not in STOP
     allowed = max(len(a) // 4, 1)
     return len(a) >= 4 and len(b) >= 3 and abs(len(a) - len(b)) <= allowed and list(scores(a, b))[-1] <= allowed
 
