@@ -35,7 +35,8 @@ def issues(clips: DataFrame) -> DataFrame:
     order = file.orderBy("idx")
     n, d = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")), F.col("clip_end") - F.col("clip_begin")
     c = clips.withColumns({"_n": n, "_d": d, "_edge": F.lag("idx").over(order).isNull() | F.lead("idx").over(order).isNull(), "_last": F.col("clip_end") == F.max("clip_end").over(file)})
-    c = c.withColumn("_first", F.min("smil").over(Window.partitionBy())).withColumn("_final", F.max("smil").over(Window.partitionBy())) if "boundary" not in c.columns else c
+    if "boundary" not in c.columns:
+        c = c.crossJoin(F.broadcast(clips.agg(F.min("smil").alias("_first"), F.max("smil").alias("_final"))))  # one row
     boundary = F.col("boundary") if "boundary" in clips.columns else (F.col("smil").isin(F.col("_first"), F.col("_final"))) & F.col("_last")
     extra = F.when((F.col("_n") < 3) & F.col("_edge"), EXTRA).otherwise(0.0)
     words, length, chars = F.col("_n"), F.col("_d"), F.length("text")

@@ -17,11 +17,15 @@ MISSES = ("interpolated", "recoverable")
 
 
 def median_mad(df: DataFrame, by: list[str], x: Column, prefix: str = "") -> DataFrame:
-    """Exact median and median absolute deviation of x per group (of all rows without one)."""
-    d = df.select(*by, x.cast("double").alias("_x"))
-    m = d.groupBy(*by).agg(F.median("_x").alias(f"{prefix}median"))
-    d = d.join(m, by) if by else d.crossJoin(m)  # m is one row
-    return d.groupBy(*by, f"{prefix}median").agg(F.median(F.abs(F.col("_x") - F.col(f"{prefix}median"))).alias(f"{prefix}mad"), F.count(F.lit(1)).alias("n"))
+    """Exact median and median absolute deviation of x per group (of all rows without one).
+
+    Equal values are counted before anything else, so each step sees distinct values with their counts: of times in whole milliseconds there are few.
+    """
+    d = df.groupBy(*by, x.cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    middle = lambda c: F.percentile(c, F.lit(0.5), F.col("_n"))
+    m = d.groupBy(*by).agg(middle(F.col("_x")).alias(f"{prefix}median"))
+    d = d.join(m, by) if by else d.crossJoin(F.broadcast(m))  # m is one row
+    return d.groupBy(*by, f"{prefix}median").agg(middle(F.abs(F.col("_x") - F.col(f"{prefix}median"))).alias(f"{prefix}mad"), F.sum("_n").alias("n"))
 
 
 def interior(df: DataFrame, chapter: str = "chapter_id") -> DataFrame:
@@ -39,43 +43,49 @@ def pace_bins(df: DataFrame) -> DataFrame:
     return median_mad(binned(interior(df)), ["bin"], F.col("pace")).filter("mad > 0")
 
 
-def paced(df: DataFrame) -> DataFrame:
-    return binned(df).join(pace_bins(df).drop("n"), "bin").withColumn("zscore", z_score(F.col("pace"), F.col("median"), F.col("mad")))
+def outliers(df: DataFrame, pace: bool = True, span: bool = True) -> DataFrame:
+    """Units with their z-scores of pace (null where the bin has no deviation) and of duration, and the flags fast, slow, short and long that follow.
+
+    The statistics are one row a length bin and one row in all, joined once; the flags are one projection. Without pace or span the flags of the other alone.
+    """
+    d = binned(df).withColumn("_last", F.max("unit_id").over(Window.partitionBy("chapter_id")))
+    inner = (F.col("unit_id") != 0) & (F.col("unit_id") != F.col("_last"))
+    d = d.withColumn("_inner", inner).drop("_last")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    if pace:
+        bins = median_mad(d.filter("_inner"), ["bin"], F.col("pace")).filter("mad > 0").drop("n")
+        d = d.join(bins, "bin", "left").withColumn("zscore", F.when(F.col("mad").isNotNull(), z_score(F.col("pace"), F.col("median"), F.col("mad")))).drop("median", "mad")
+        quick = F.col("zscore").isNotNull() & ((F.col("zscore") < FAST_Z) | (per(F.col("duration"), F.col("n_words")) < FASTEST_WORD))
+        d = d.withColumns({"fast": sure(quick), "slow": sure(F.col("_inner") & (F.col("zscore") > SLOW_Z))})
+    if span:
+        m = median_mad(d.filter("_inner"), [], F.col("duration")).select("median", "mad")
+        d = d.crossJoin(F.broadcast(m))  # one row
+        z = z_score(F.col("duration"), F.col("median"), F.col("mad"))
+        d = d.withColumns({"zspan": z, "short": sure((F.col("mad") > 0) & ((z < SHORT_Z) | (F.col("duration") < SHORTEST))), "long": sure(F.col("_inner") & (z > LONG_Z))}).drop("median", "mad")
+        if pace:
+            d = d.withColumns({"short": F.col("short") & ~F.col("fast"), "long": F.col("long") & ~F.col("slow")})
+    return d.drop("_inner", "bin", "pace")
 
 
 def fast(df: DataFrame) -> DataFrame:
-    return paced(df).filter((F.col("zscore") < FAST_Z) | (per(F.col("duration"), F.col("n_words")) < FASTEST_WORD)).select("chapter_id", "unit_id", "zscore")
+    return outliers(df, span=False).filter("fast").select("chapter_id", "unit_id", "zscore")
 
 
 def slow(df: DataFrame) -> DataFrame:
-    return interior(paced_all(df)).filter(F.col("zscore") > SLOW_Z).select("chapter_id", "unit_id", "zscore")
-
-
-def paced_all(df: DataFrame) -> DataFrame:
-    """As paced(), with units whose bin has no deviation kept, without a z-score."""
-    return binned(df).join(pace_bins(df).drop("n"), "bin", "left").withColumn("zscore", F.when(F.col("mad").isNotNull(), z_score(F.col("pace"), F.col("median"), F.col("mad"))))
-
-
-def _by_duration(df: DataFrame) -> DataFrame:
-    m = median_mad(interior(df), [], F.col("duration"))
-    return df.crossJoin(F.broadcast(m.select("median", "mad"))).withColumn("zscore", z_score(F.col("duration"), F.col("median"), F.col("mad")))  # one row
+    return outliers(df, span=False).filter("slow").select("chapter_id", "unit_id", "zscore")
 
 
 def long(df: DataFrame) -> DataFrame:
-    return interior(_by_duration(df)).filter(F.col("zscore") > LONG_Z).select("chapter_id", "unit_id", "zscore").join(slow(df).select("chapter_id", "unit_id"), ["chapter_id", "unit_id"], "left_anti")
+    return outliers(df).filter("long").select("chapter_id", "unit_id", F.col("zspan").alias("zscore"))
 
 
 def short(df: DataFrame) -> DataFrame:
-    hit = _by_duration(df).filter("mad > 0").filter((F.col("zscore") < SHORT_Z) | (F.col("duration") < SHORTEST))
-    return hit.select("chapter_id", "unit_id", "zscore").join(fast(df).select("chapter_id", "unit_id"), ["chapter_id", "unit_id"], "left_anti")
+    return outliers(df).filter("short").select("chapter_id", "unit_id", F.col("zspan").alias("zscore"))
 
 
 def flagged(df: DataFrame) -> DataFrame:
     """Units with their flags, one column each, of all outlier rules."""
-    out = df
-    for name, rule in (("fast", fast), ("slow", slow), ("short", short), ("long", long)):
-        out = out.join(rule(df).select("chapter_id", "unit_id", F.lit(True).alias(name)), ["chapter_id", "unit_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return out
+    return outliers(df).drop("zscore", "zspan")
 
 
 def weight(present: list[str]) -> Column:
@@ -134,6 +144,23 @@ def outlier_report(df: DataFrame, outliers: DataFrame, names: DataFrame | None =
     return d.join(names, "chapter_id", "left") if names is not None else d
 
 
+def merged_transcriptions(stats: DataFrame) -> DataFrame:
+    """One row from segment_stats() rows: counts summed, means weighted by segments; medians do not merge."""
+    n = F.sum("segments")
+    mean = lambda c: F.round(F.try_divide(F.sum(F.col(c) * F.col("segments")), n), 6).alias(c)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return stats.agg(*[total(c) for c in ("segments", "start_gaps", "end_gaps", "fast")], mean("average_pace"), mean("per_voice"))
+
+
+def chapter_states(units: DataFrame, aligned: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(chapter_id, aligned, skipped, missing, missed, empty): counts; a chapter is missed whose units are all missing, empty with nothing aligned."""
+    count = lambda d, name: d.groupBy("chapter_id").agg(F.count(F.lit(1)).alias(name))
+    d = units.select("chapter_id").distinct()
+    for x, name in ((aligned, "aligned"), (skipped, "skipped"), (missing(units, aligned, skipped), "missing")):
+        d = d.join(count(x, name), "chapter_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    return d.withColumns({"missed": (F.col("missing") > 0) & (F.col("aligned") == 0) & (F.col("skipped") == 0), "empty": F.col("aligned") == 0})
+
+
 def missing(units: DataFrame, aligned: DataFrame, skipped: DataFrame) -> DataFrame:
     key = ["chapter_id", "unit_id"]
     return units.join(aligned.select(*key), key, "left_anti").join(skipped.select(*key), key, "left_anti")

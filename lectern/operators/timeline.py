@@ -67,7 +67,7 @@ def changes(track: list[str], order: list[str], *columns: str) -> Column:
 
 
 def merged(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """One row per island: tokens joined in order, least start, greatest end, flags or-ed."""
+    """One row per island: tokens joined in order, least start, greatest end."""
     token = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "token"))), lambda t: t["token"]), "")
     return df.groupBy(*by).agg(token.alias("token"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
 
@@ -161,6 +161,17 @@ def closed(df: DataFrame, chapters: list[str], order: list[str], track_end: Colu
     return df.withColumns({"new_start": F.when(prev.isNull(), F.lit(0)).when(new_chapter, F.least(prev, "start")).otherwise(F.col("start")), "new_end": F.when(nxt.isNull(), track_end).otherwise(F.col("end"))})
 
 
+def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, that which comes first."""
+    return df.groupBy(*keys).agg(*[F.min_by(c, F.struct(*order)).alias(c) for c in df.columns if c not in keys])
+
+
+def diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows, as often as they are missing from the other side, with the side that has them."""
+    left, right = (x.exceptAll(y).select(F.lit(side).alias("side"), "*") for x, y, side in ((a, b, "left"), (b, a, "right")))
+    return left.unionByName(right)
+
+
 def asof(points: DataFrame, intervals: DataFrame, on: list[str], at: str, start: str, end: str, step: int) -> DataFrame:
     """Points with the half-open interval that holds them: an equi-join on buckets of `step`, then the range test, so that nothing is compared with all."""
     b = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / step), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / step))))
@@ -174,7 +185,25 @@ def contained(rows: DataFrame, windows: DataFrame, track: str, step: int) -> Dat
 
 
 def selected(df: DataFrame, order: list[str], on: Column, off: Column) -> DataFrame:
-    """Rows from one for which `on` holds up to, not with, one for which `off` holds (tested first); all rows where `on` never holds."""
-    w = Window.orderBy(*order)
-    state = F.last(F.when(off, False).when(on, True), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_any", F.max(on.cast("int")).over(Window.partitionBy())).withColumn("_on", state).filter("_any = 0 or _on").drop("_any", "_on")
+    """Rows from one for which `on` holds up to, not with, one for which `off` holds (tested first); all rows where `on` never holds.
+
+    The state changes at rows where either holds and some other held before. These alone come in order, with the state they begin, and each row takes that of the
+    last one up to it: rows are dealt by ranges of the order, and the state in which a range begins is that in which the ranges before it end.
+    """
+    d = df.withColumn("_s", F.when(off, False).when(on, True)).repartitionByRange(*order).withColumn("_r", F.spark_partition_id())
+    # Which rows are in which range must not change from one use to the next, so the ranges are cut by the rows that begin them, one a range.
+    first = [r.k for r in d.groupBy("_r").agg(F.min(F.struct(*order)).alias("k")).orderBy("k").collect()]
+    if not first or not df.filter(on).head(1):
+        return df
+    k = F.struct(*order)
+    cut = F.lit(0)
+    for x in first[1:]:
+        cut = cut + F.when(k >= F.struct(*[F.lit(x[c]).cast(df.schema[c].dataType).alias(c) for c in order]), 1).otherwise(0)
+    d = df.withColumn("_s", F.when(off, False).when(on, True)).withColumn("_r", cut)
+    ends = d.filter("_s is not null").groupBy("_r").agg(F.max_by("_s", k).alias("_e"))
+    after = ends.select(F.col("_r").alias("_q"), "_e")
+    ranges = df.sparkSession.range(len(first)).select(F.col("id").cast("int").alias("_q")).join(after, "_q", "left")
+    before = F.last("_e", True).over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    state = F.last("_s", True).over(Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    d = d.join(F.broadcast(ranges.select(F.col("_q").alias("_r"), before.alias("_b"))), "_r")
+    return d.withColumn("_on", F.coalesce(state, "_b", F.lit(False))).filter("_on").select(*df.columns)
