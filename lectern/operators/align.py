@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SYMBOLS
 from lectern.operators.similarity import nearest_match
 
-# Sentences looked at ahead by a long and a short unit, places tried before units are given up, characters of a short unit.
-AHEAD, AHEAD_SHORT, TRIES, TRIES_SHORT, TOO_SHORT = 10, 3, 30, 2, 3
+# Sentences looked at ahead by a long and a short unit, places tried before units are given up, characters of a short unit, units tried at a place.
+AHEAD, AHEAD_SHORT, TRIES, TRIES_SHORT, TOO_SHORT, TOGETHER = 10, 3, 30, 2, 3, 3
+# Lengths of windows, in lengths of the unit, and how much rather a window is too long than too short.
+WINDOWS, TOO_LONG = (1.5, 3, 7), 1.2
+#: Characters of the pieces that stand for a text in the quick test before edits are counted.
+Q = 3
 ALIGNED = "chapter_id {id}, unit_id int, text string, match_type string, match_text string, off_start long, off_end long"
 
 _ends = re.compile(r"^[\W_]+|[\W_]+$")
@@ -60,47 +65,110 @@ def prefix_end(key: str, text: str) -> int:
     return 0
 
 
+def grams(text: str) -> set[str]:
+    return {text[i : i + Q] for i in range(len(text) - Q + 1)}
+
+
+class Heard:
+    """A transcript's sentences, lower-cased, with their lengths so far and their grams."""
+
+    def __init__(self, heard: list[tuple[str, int]]):
+        self.raw, self.first = [t for t, _ in heard], [at for _, at in heard]
+        self.text = [t.lower() for t in self.raw]
+        self.upto = [0]
+        for t in self.text:
+            self.upto.append(self.upto[-1] + len(t))
+        self.grams = [grams(t) for t in self.text]
+        self.joints = [grams(f"{a[-Q + 1:]} {b[: Q - 1]}") for a, b in zip(self.text, self.text[1:], strict=False)]
+
+    def windows(self, at: int, cut: int, length: int, most: int) -> list[int]:
+        """Numbers of sentences from `at` on, `cut` characters in, whose text comes nearest to each of the WINDOWS; rising, without repeats."""
+        top = min(len(self.text) - at, most)
+        size = lambda n: self.upto[at + n] - self.upto[at] - cut
+        out: list[int] = []
+        for times in WINDOWS:
+            target = int(length * times)
+            n = min(bisect_right(self.upto, target + self.upto[at] + cut, at, at + top + 1) - at - 1, top)  # as many as stay within the target
+            if n < top and (size(n) <= length or size(n + 1) - target <= (target - size(n)) * TOO_LONG):
+                n += 1
+            if n > 0 and (not out or n > out[-1]):
+                out.append(n)
+        return out
+
+    def window(self, at: int, cut: int, n: int) -> str:
+        return " ".join(self.text[at : at + n])[cut:]
+
+    def may_hold(self, pieces: set[str], least: int, at: int, n: int) -> bool:
+        """Whether so many of the pieces are in the window at all; what was cut off it counts too."""
+        left = set(pieces)
+        for k in range(at, at + n):
+            left -= self.grams[k]
+            if k + 1 < at + n:
+                left -= self.joints[k]
+            if len(pieces) - len(left) >= least:
+                return True
+        return False
+
+
+class Sought:
+    """A unit as it is sought: its text and the pieces of it that an occurrence with few edits must keep."""
+
+    def __init__(self, text: str):
+        self.query = " ".join(text.lower().split())
+        said = _blank.sub("", self.query)
+        self.empty, self.short = not said, len(said) <= TOO_SHORT
+        self.pieces = grams(self.query)
+
+    def budget(self, drift: int) -> int:
+        return max(1, max(len(self.query) // 4, 1) // (drift + 1))
+
+    def found(self, heard: Heard, at: int, cut: int, drift: int) -> tuple[str, int, int, str] | None:
+        """(kind, start, end, window) in the first window that holds it, each tried by all kinds: an edit spoils Q pieces at most, so where too many are missing none are counted."""
+        least = len(self.pieces) - Q * self.budget(drift)
+        for n in heard.windows(at, cut, len(self.query), AHEAD_SHORT if self.short else AHEAD):
+            window = heard.window(at, cut, n)
+            fuzzy = not self.short and (least <= 0 or heard.may_hold(self.pieces, least, at, n))
+            got = matched(self.query, window, drift, fuzzy)
+            if got:
+                return *got, window
+            if self.short:
+                return None
+        return None
+
+
 def align_units(units: list[tuple[int, str]], heard: list[tuple[str, int]]) -> list[tuple]:
     """Walks through units and transcript sentences (text, offset) together; (unit_id, text, kind, match, start, end), kind `skipped` without a match.
 
-    A unit is sought in the next sentences from the cursor. Where it isn't, the cursor moves on a sentence at a time; after too many, the
-    unit is given up and the cursor returns to the last good place. A match moves the cursor past it, so matches never cross.
+    At a place up to TOGETHER units are sought, one after another; the first that is found is taken and those before it are skipped. Where none is, the place moves on by a sentence
+    and the same units are sought again; TRIES sentences beyond the last match they are given up, and the place goes back to it. A short unit is sought alone and given up
+    sooner. A match moves the place past it, so matches never cross. What is empty or punctuation is skipped.
     """
-    out: list[tuple] = []
-    at, cut, good = 0, 0, 0
-    for unit_id, text in units:
-        query = " ".join(text.lower().split())
-        said = _blank.sub("", query)
-        if not said:
-            out.append((unit_id, text, "skipped", None, None, None))
+    h, sought = Heard(heard), [Sought(t) for _, t in units]
+    hits: dict[int, tuple] = {}
+    todo = [i for i, s in enumerate(sought) if not s.empty]
+    i = at = cut = good = good_cut = 0
+    while i < len(todo):
+        hit, used = None, 0
+        for used, j in enumerate(todo[i : i + TOGETHER], 1):
+            hit = sought[j].found(h, at, cut, at - good) if at < len(h.text) else None
+            if hit or sought[j].short:
+                break
+        if not hit:
+            at, cut = at + 1, 0
+            short = sought[todo[i + used - 1]].short
+            if at >= min(len(h.text), good + (TRIES_SHORT if short else TRIES)):
+                i, at, cut = i + used, good, good_cut
             continue
-        short = len(said) <= TOO_SHORT
-        found, k, skip = None, at, cut
-        while not found and k < min(len(heard), good + (TRIES_SHORT if short else TRIES)):
-            ahead, length = [], 0
-            for s, _ in heard[k : k + (AHEAD_SHORT if short else AHEAD)]:
-                ahead.append(s)
-                length += len(s)
-                if length >= 3 * len(query) + skip:
-                    break
-            window = " ".join(ahead).lower()[skip:]
-            found = matched(query, window, k - good, not short)
-            if not found:
-                k, skip = k + 1, 0
-        if not found:
-            out.append((unit_id, text, "skipped", None, None, None))
-            at = good
-            cut = cut if at == good else 0
-            continue
-        kind, a, b = found
-        start, end = skip + a, skip + b
-        first = heard[k][1]
-        out.append((unit_id, text, kind, window[a:b], first + start, first + end))
-        while k < len(heard) and end >= len(heard[k][0]):
-            end -= len(heard[k][0]) + 1
-            k += 1
-        at, cut, good = k, max(end, 0), k
-    return out
+        kind, a, b, window = hit
+        start, end = cut + a, cut + b
+        hits[todo[i + used - 1]] = kind, window[a:b], h.first[at] + start, h.first[at] + end
+        while at < len(h.text) and end >= len(h.text[at]):
+            end -= len(h.text[at]) + 1
+            at += 1
+        cut = good_cut = max(end, 0)
+        good = at
+        i += used
+    return [(unit_id, text, *hits.get(k, ("skipped", None, None, None))) for k, (unit_id, text) in enumerate(units)]
 
 
 def aligned(units: DataFrame, heard: DataFrame, chapter: str = "chapter_id") -> DataFrame:
@@ -117,9 +185,7 @@ def aligned(units: DataFrame, heard: DataFrame, chapter: str = "chapter_id") ->
 
 
 def head_bounds(chapters: DataFrame) -> DataFrame:
-    """(chapter_id, prev_off, next_off): nearest non-zero offsets that earlier and later chapters use, by spine order."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("spine_idx")  # one row per chapter
+    """(chapter_id, prev_off, next_off): nearest non-zero offsets that earlier and later chapters of a book (`path`, where there is one) use, by spine order."""
+    w = Window.partitionBy(*[c for c in ("path",) if c in chapters.columns]).orderBy("spine_idx")  # one row per chapter
     used = F.nullif(F.col("off"), F.lit(0))
     return chapters.withColumns({"prev_off": F.last(used, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "next_off": F.first(used, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
