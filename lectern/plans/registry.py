@@ -35,10 +35,10 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def synthetic(df: DataFrame, track: str, idx: str) -> DataFrame:
-    """Adds vlen (hundredths), dur, start and end in ms: voice length at 80 ms, varied by position, every 97th far too fast."""
+    """Adds vlen (hundredths), dur, start and end in ms: voice length at 80 ms, varied by position, every 97th far too fast, every 89th far too slow, every 83rd at half its length."""
     t, i = F.col(track), F.col(idx)
     d = df.withColumn("vlen", tx.voice_length100(F.col("text")))
-    rate = F.when((t * 7 + i) % 97 == 0, 2).otherwise(100)
+    rate = F.when((t * 7 + i) % 97 == 0, 2).when((t * 5 + i) % 89 == 0, 4000).when((t * 3 + i) % 83 == 0, 50).otherwise(100)
     d = d.withColumn("dur", F.floor(F.col("vlen") * 8 * (70 + ((t * 31 + i * 17) % 13) * 5) * rate / 100000).cast("long"))
     w = Window.partitionBy(track).orderBy(idx)
     d = d.withColumn("end", F.sum("dur").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -73,7 +73,7 @@ SPLIT = "string_split(regexp_replace(trim(text),'([.!?]+)[ \n\t\r]+','\\1'||chr(
 
 
 def timed(src: str, t: str, i: str) -> str:
-    return f"""v as (select *, {VLEN} vlen from {src}), w as (select *, floor(vlen*8*(70+(({t}*31+{i}*17)%13)*5)*(case when ({t}*7+{i})%97=0 then 2 else 100 end)/100000.0)::bigint dur from v),
+    return f"""v as (select *, {VLEN} vlen from {src}), w as (select *, floor(vlen*8*(70+(({t}*31+{i}*17)%13)*5)*(case when ({t}*7+{i})%97=0 then 2 when ({t}*5+{i})%89=0 then 4000 when ({t}*3+{i})%83=0 then 50 else 100 end)/100000.0)::bigint dur from v),
 {{}} as (select *, (sum(dur) over (partition by {t} order by {i} rows unbounded preceding))::bigint as "end", (sum(dur) over (partition by {t} order by {i} rows unbounded preceding) - dur)::bigint as start from w)"""
 
 
@@ -108,7 +108,7 @@ def voice_length(spark, d):
     return units(spark, d).select("doc_id", "unit_id", "vlen")
 
 
-@query(U + r""" select doc_id, unit_id::int unit_id, trim(regexp_replace(regexp_replace(replace(translate(text,'‘’‚‛“”„‟«»‐‑‒–−―‹›',repeat('''',4)||repeat('"',6)||repeat('-',5)||'—<>'),'--','—'),'\p{P}','','g'),'[ \t\n\r]+',' ','g')) plain from u""")
+@query(U + r""" select doc_id, unit_id::int unit_id, trim(regexp_replace(regexp_replace(replace(translate(text,'‘’‚‛“”„‟«»〝〞‐‑‒–―‹›',repeat('''',4)||repeat('"',8)||repeat('-',4)||'—<>'),'--','—'),'\p{P}','','g'),'[ \t\n\r]+',' ','g')) plain from u""")
 def punct_normalized(spark, d):
     return units(spark, d).select("doc_id", "unit_id", tx.collapsed(tx.without_punctuation(tx.plain_punctuation(F.col("text")))).alias("plain"))
 
@@ -188,9 +188,11 @@ def long_duration(spark, d):
     return rounded(stats.long(paced(spark, d)), "zscore")
 
 
-@query(BINS + " select chapter_id, unit_id::int unit_id, round(zscore,6) zscore from short")
+@query(BINS.replace("dur/1000.0::double duration", "round(cbrt(dur/1000.0::double),3) duration") + " select chapter_id, unit_id::int unit_id, round(zscore,6) zscore from short")
 def short_duration(spark, d):
-    return rounded(stats.short(paced(spark, d)), "zscore")
+    """Of durations that vary less than the units' own, which none falls short of."""
+    u = paced(spark, d)
+    return rounded(stats.short(u.withColumn("duration", F.round(F.cbrt("duration"), 3))), "zscore")
 
 
 SCORED = BINS + """, sc as (select i.chapter_id, count(*) n, sum(case when (i.chapter_id,i.unit_id) in (select chapter_id,unit_id from fast) then 0 when (i.chapter_id,i.unit_id) in (select chapter_id,unit_id from slow) then 0
@@ -333,18 +335,27 @@ def locate_passages(spark, d):
     return similarity.located(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id")
 
 
-@query(S + r""" select conv_id, turn, case when starts_with(text, q) then 'exact' when starts_with(text, ' '||q) then 'trimmedLeading' when b<>'' and starts_with(regexp_replace(text,'^[\s\p{P}]+',''), b) then 'ignoringEndsPunctuation' end match_type
-from (select *, regexp_replace(regexp_replace(q,'^[\s\p{P}]+',''),'[\s\p{P}]+$','') b from (select *, case when turn%3=0 then left(text,20) when turn%3=1 then '"'||left(text,20)||'"' else 'zzz' end q from s))""")
+# A text without punctuation, capitals, contractions and runs of blanks.
+PLAIN = r"""regexp_replace(trim(regexp_replace(lower(replace(translate(regexp_replace({0}, '\b(i|you|he|she|it|we|they)''(ll|re|ve|d|m)\b', '\1', 'g'),'‘’‚‛“”„‟«»〝〞‐‑‒–―‹›',repeat('''',4)||repeat('"',8)||repeat('-',4)||'—<>'),'--','—')),'\p{{P}}','','g')), '\s+', ' ', 'g')"""
+KIND_OF = (
+    r"""case when starts_with(text, q) then 'exact' when starts_with(text, ' '||q) then 'trimmedLeading' when b<>'' and starts_with(regexp_replace(text,'^[\s\p{P}]+',''), b) then 'ignoringEndsPunctuation'
+ when """
+    + PLAIN.format("q") + " <> '' and starts_with(" + PLAIN.format("text") + ", " + PLAIN.format("q") + r""") then 'ignoringAllPunctuation' end match_type
+from (select *, regexp_replace(regexp_replace(q,'^[\s\p{P}]+',''),'[\s\p{P}]+$','') b from (select *, """
+)
+
+
+@query(S + " select conv_id, turn, " + KIND_OF + """case when turn%3=0 then left(text,20) when turn%3=1 then '"'||left(text,20)||'"' else 'zzz' end q from s))""")
 def prefix_match_type(spark, d):
     q = F.when(F.col("turn") % 3 == 0, F.left("text", F.lit(20))).when(F.col("turn") % 3 == 1, F.concat(F.lit('"'), F.left("text", F.lit(20)), F.lit('"'))).otherwise("zzz")
     kind = similarity.prefix_match(q, F.col("text"))
     return segments(spark, d).select("conv_id", "turn", kind.alias("match_type"))
 
 
-@query()
+@query(S + ' select conv_id, turn, q as "query", text, ' + KIND_OF + "translate(replace(left(text, 20), ' ', ', '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') q from s))")
 def prefix_match_kinds(spark, d):
     """Queries in capitals with commas in them, which only the last step of the cascade finds."""
-    q = F.upper(F.regexp_replace(F.left("text", F.lit(20)), " ", ", "))
+    q = F.translate(F.regexp_replace(F.left("text", F.lit(20)), " ", ", "), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return segments(spark, d).select("conv_id", "turn", q.alias("query"), "text", similarity.prefix_match(q, F.col("text")).alias("match_type"))
 
 
@@ -472,19 +483,16 @@ def content_checksum(spark, d):
     return units(spark, d).groupBy("doc_id").agg(F.sha2(joined, 256).alias("checksum"))
 
 
-@query(U + """ select doc_id, unit_id::int unit_id from u where (doc_id+unit_id)%3=0 and not ((doc_id*5+unit_id)%4=0) and not ((doc_id+unit_id*3)%5=0)""")
+@query(U + """ select doc_id, unit_id::int unit_id from u where not ((doc_id*5+unit_id)%4=0) and not ((doc_id+unit_id*3)%5=0)""")
 def missing_units(spark, d):
-    u = units(spark, d).withColumnRenamed("doc_id", "chapter_id").filter((F.col("chapter_id") + F.col("unit_id")) % 3 == 0)
-    a, s = u.filter((F.col("chapter_id") * 5 + F.col("unit_id")) % 4 == 0), u.filter((F.col("chapter_id") + F.col("unit_id") * 3) % 5 == 0)
+    """Of all units those neither aligned nor skipped; subsets of the units stand in for these two tables."""
+    u = units(spark, d).withColumnRenamed("doc_id", "chapter_id")
+    a, s = aligned_and_skipped(u)
     return stats.missing(u, a, s).select(F.col("chapter_id").alias("doc_id"), "unit_id")
 
 
-@query(U + """ select doc_id, unit_id::int unit_id from u where not ((doc_id*5+unit_id)%4=0) and not ((doc_id+unit_id*3)%5=0)""")
-def missing_units_all(spark, d):
-    """Of all units, where missing_units takes every third; the aligned and the skipped ones stand in for tables."""
-    u = units(spark, d).withColumnRenamed("doc_id", "chapter_id")
-    a, s = u.filter((F.col("chapter_id") * 5 + F.col("unit_id")) % 4 == 0), u.filter((F.col("chapter_id") + F.col("unit_id") * 3) % 5 == 0)
-    return stats.missing(u, a, s).select(F.col("chapter_id").alias("doc_id"), "unit_id")
+def aligned_and_skipped(u: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return u.filter((F.col("chapter_id") * 5 + F.col("unit_id")) % 4 == 0), u.filter((F.col("chapter_id") + F.col("unit_id") * 3) % 5 == 0)
 
 
 @query(E + """ select track, round(coalesce(sum((event_id%100)::double*(case when "end">start then "end"-start end))/sum(case when "end">start then "end"-start end),0),6) confidence, list_sort(list_distinct(list(token))) kinds from e group by 1""")

@@ -48,7 +48,7 @@ def test_entry(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("word,want", [("42", "forty-two"), ("007,", "seven,"), ("105", "one hundred five"), ("MMXXV.", "two thousand twenty-five."), (".5.", "point five."), ("0.5.1", "zero point five point one"), ("%,", "percent,"), ("100%—", "one hundred percent—"), ("XIV", "fourteen"), ("7%", "seven percent"), ("I", "I"), ("word", "word"), ("", ""), (None, None)])
+@pytest.mark.parametrize("word,want", [("58", "fifty-eight"), ("0019;", "nineteen;"), ("260", "two hundred sixty"), ("MCMLX!", "one thousand nine hundred sixty!"), (".75,", "point seventy-five,"), ("1.20.3", "one point twenty point three"), ("%;", "percent;"), ("64%…", "sixty-four percent…"), ("XLII", "forty-two"), ("31%", "thirty-one percent"), ("V", "V"), ("word", "word"), ("", ""), (None, None)])
 def test_spelled_word(word, want):
     assert tx.spelled_word(word) == want
 
@@ -58,8 +58,8 @@ def one(spark, value, column):
 
 
 def test_words_and_phrases(spark):
-    assert one(spark, " Meet the author.", tx.words) == [" Meet ", "the ", "author."] or "".join(one(spark, " Meet the author.", tx.words)) == " Meet the author."
-    assert one(spark, "This is a test, with commas.", lambda c: tx.phrases(tx.words(c))) == ["This is a test, ", "with commas."]
+    assert one(spark, " Rain fell softly.", tx.words) == [" Rain ", "fell ", "softly."]
+    assert one(spark, "He ran to town, then home again.", lambda c: tx.phrases(tx.words(c))) == ["He ran to town, ", "then home again."]
     for t in ("", "—", "a — b", "one, two; three! four?", "no end"):
         assert "".join(one(spark, t, tx.words)) == t
         assert "".join(one(spark, t, lambda c: tx.phrases(tx.words(c)))) == t
@@ -114,7 +114,7 @@ def test_folds():
     assert all(r["end"] > r["start"] for r in folds.given_time(rows))
     same = folds.spread([{"start": 1.0, "end": 1.0, "token": "a"}, {"start": 1.0, "end": 1.0, "token": "bbb"}, {"start": 2.0, "end": 3.0, "token": "c"}])
     assert math.isclose(same[1]["end"], 2.0) and math.isclose(same[0]["end"], 1.25)
-    groups = folds.word_groups([{"start": i * 0.1, "end": i * 0.1 + 0.1, "token": f"w{i} "} for i in range(200)])
+    groups = folds.word_groups([{"start": i * 0.01, "end": i * 0.01 + 0.01, "token": f"w{i} "} for i in range(200)])
     assert sum(g["n_words"] for g in groups) == 200 and max(g["n_words"] for g in groups) <= 2 * folds.MOST_WORDS
     assert folds.shares(10, [1, 1, 1]) == [4, 3, 3] and sum(folds.shares(7, [0.2, 5, 1])) == 7
 

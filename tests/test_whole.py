@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_missing_units_of_all(spark):
     units = {(r.doc_id, r.unit_id) for r in registry.QUERIES["unit_rows"](spark, SF).collect()}
-    got = [(r.doc_id, r.unit_id) for r in registry.QUERIES["missing_units_all"](spark, SF).collect()]
+    got = [(r.doc_id, r.unit_id) for r in registry.QUERIES["missing_units"](spark, SF).collect()]
     assert sorted(got) == sorted((c, u) for c, u in units if (c * 5 + u) % 4 and (c + u * 3) % 5)
     assert any((c + u) % 3 for c, u in got)
 
