@@ -74,16 +74,6 @@ def cut_keys(rows: DataFrame, keys: list[str], size: Column, most: int, path: st
     return at.groupBy(nth.alias("nth")).agg(F.min(F.struct(*keys)).alias("k")).orderBy("nth").select("k.*").collect()
 
 
-def lowered(text: Column) -> Column:
-    """A-Z to a-z and no other letter."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def source_bytes(df: DataFrame, text: str) -> int:
-    """UTF-8 bytes of the text column."""
-    return df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-
-
 def parts(batches, most: int = 2 << 20):
     """The Arrow batches in slices of about `most` bytes, so that what is made of one is small too."""
     for b in batches:

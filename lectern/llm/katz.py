@@ -14,14 +14,17 @@ stays where train() writes it, and score() evaluates it on any documents.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import Hasher, as_bytes, mixed, packed, scratch, stored, word_spans
+from lectern.llm.common import parts as parts_of
 
 #: Counts up to this are discounted by Good-Turing.
 CUTOFF = 5
@@ -213,7 +216,7 @@ def evaluated(b: Block, told: pa.Table, levels: list[Level], upto: int):
 
 
 class Model:
-    """Tables below path: grams (kind, part, keys, counts), kind the order, and contexts (kind, part, keys, counts, sums), a row for each part of the keys; totals of each order."""
+    """Tables below path, in grams/role=model and contextsK/role=model: (kind, part, keys, counts, sums), kind the order, beyond CONTEXT that of contexts; a row for each part of the keys. Totals of each order."""
 
     def __init__(self, path: str, levels: list[Level], parts: int):
         self.path, self.levels, self.parts = path, levels, parts
@@ -224,28 +227,58 @@ def prepared(docs: DataFrame, train: Column, id_col: str, text_col: str) -> Data
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
 
 
+def packed_rows(d: DataFrame) -> DataFrame:
+    """(block, doc_ids, trains, lens, texts): a slice's documents of each block in one row, texts compressed together, so that little moves."""
+    kind = d.schema["doc_id"].dataType
+
+    def run(batches):
+        for b in parts_of(batches, 8 << 20):
+            block = b.column(3).to_numpy(zero_copy_only=False)
+            order = np.argsort(block, kind="stable")
+            cut = np.flatnonzero(np.diff(block[order], prepend=-1))
+            rows, texts = b.take(pa.array(order)), as_bytes(b.column(2).take(pa.array(order)))
+            ends = [*cut[1:].tolist(), len(order)]
+            offsets = pa.array([*cut.tolist(), len(order)], pa.int32())
+            lens = [np.array([len(t) for t in texts[i:j]], dtype=np.int32).tobytes() for i, j in zip(cut.tolist(), ends, strict=True)]
+            zipped = [zstandard.ZstdCompressor(level=3).compress(b"".join(texts[i:j])) for i, j in zip(cut.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][cut], pa.int32()), pa.ListArray.from_arrays(offsets, rows.column(0)), pa.ListArray.from_arrays(offsets, rows.column(1)), pa.array(lens, pa.binary()), pa.array(zipped, pa.binary())], names=["block", "doc_ids", "trains", "lens", "texts"])
+
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("trains", T.ArrayType(T.BooleanType())), T.StructField("lens", T.BinaryType()), T.StructField("texts", T.BinaryType())])
+    return d.select("doc_id", "train", "text", "block").mapInArrow(run, schema)
+
+
 class Blocks:
     """Documents dealt into blocks of about block_bytes by hash: a table of the session's catalog, bucketed by block so that each round reads it without a shuffle, some task_bytes to a bucket and a file."""
 
     def __init__(self, d: DataFrame, path: str, block_bytes: int, task_bytes: int):
         spark = d.sparkSession
         size = d.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-        self.n, self.name = max(1, -(-size // block_bytes)), f"lectern_{uuid.uuid4().hex}"
+        self.n, self.name, self.kind = max(1, -(-size // block_bytes)), f"lectern_{uuid.uuid4().hex}", d.schema["doc_id"].dataType.simpleString()
         buckets = max(1, -(-size // task_bytes))
         most = "spark.sql.sources.bucketing.maxBuckets"
         if buckets > int(spark.conf.get(most)):
             spark.conf.set(most, buckets)
-        d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(self.n)).cast("int"))
+        d = packed_rows(d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(self.n)).cast("int")))
         # Dealt as the table is bucketed, so that a bucket is one file.
-        d.repartition(buckets, "block").write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(self.name)
+        d.repartition(buckets, "block").write.option("path", path).option("compression", "none").bucketBy(buckets, "block").saveAsTable(self.name)
         self.rows = spark.table(self.name)
 
     def drop(self) -> None:
         self.rows.sparkSession.sql(f"drop table if exists {self.name}")
 
 
+def listed(t: pa.Table, column: str) -> pa.Array:
+    return pa.concat_arrays([c.flatten() for c in t[column].chunks]) if t[column].num_chunks else pa.array([], t[column].type.value_type)
+
+
 def loaded(t: pa.Table, order: int) -> Block:
-    return Block(as_bytes(t["text"]), np.array(t["train"].to_pylist(), dtype=bool), order)
+    texts = []
+    for lens, data in zip(t["lens"].to_pylist(), t["texts"].to_pylist(), strict=True):
+        whole, at = zstandard.ZstdDecompressor().decompress(data) if len(data) else b"", 0
+        for n in np.frombuffer(lens, dtype=np.int32).tolist():
+            texts.append(whole[at : at + n])
+            at += n
+    return Block(texts, np.array(listed(t, "trains").to_pylist(), dtype=bool), order)
 
 
 def asking(order: int, parts: int, contexts: bool):
@@ -264,12 +297,16 @@ def asking(order: int, parts: int, contexts: bool):
     return asked
 
 
+def tables(told: DataFrame, path: str) -> DataFrame:
+    """Writes what the parts told, the model apart from the answers, by kind; reads all of it."""
+    told.withColumn("role", F.when(F.col("block") == MODEL, "model").otherwise("answers")).write.option("compression", "none").partitionBy("role", "kind").parquet(path)
+    return told.sparkSession.read.schema(f"{TOLD}, role string").parquet(path).drop("role")
+
+
 def trained(blocks: Blocks, path: str, order: int) -> tuple[Model, DataFrame]:
     """The model, its tables below path, and what its parts told each block."""
     d, parts = blocks.rows, 1 << (blocks.n - 1).bit_length()
-    told = stored(answered(d.groupBy("block").applyInArrow(asking(order, parts, False), ASKED), False), f"{path}/told/grams")
-    table = told.filter(F.col("block") == MODEL).select("kind", "part", "keys", "counts")
-    table.write.partitionBy("kind").parquet(f"{path}/grams")
+    told = tables(answered(d.groupBy("block").applyInArrow(asking(order, parts, False), ASKED), False), f"{path}/grams")
     stats = told.filter(F.col("block") == STATS).select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).orderBy("kind", "pos").collect()
     levels = [Level([r.n for r in stats if r.kind == k] or [0] * (CUTOFF + 3)) for k in range(1, order + 1)]
     told = told.filter("block >= 0")
@@ -291,18 +328,15 @@ def trained(blocks: Blocks, path: str, order: int) -> tuple[Model, DataFrame]:
 
     for k in range(2, order + 1):
         asked = d.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(gather(k), ASKED)
-        more = stored(answered(asked, True), f"{path}/told/contexts{k}")
-        more.filter(F.col("block") == MODEL).select("kind", "part", "keys", "counts", "sums").write.mode("append").partitionBy("kind").parquet(f"{path}/contexts")
-        told = told.unionByName(more.filter("block >= 0"))
+        told = told.unionByName(tables(answered(asked, True), f"{path}/contexts{k}").filter("block >= 0"))
     return Model(path, levels, parts), told
 
 
 def looked_up(asked: DataFrame, model: Model) -> DataFrame:
     """What the model's tables say to each block: counts of n-grams; counts, backoff weights and scales of contexts; 0, 1 and 1 for unknown ones."""
     spark, order = asked.sparkSession, len(model.levels)
-    tables = spark.read.schema("kind int, part int, keys binary, counts binary").parquet(f"{model.path}/grams").withColumn("sums", F.lit(None).cast("binary"))
-    if order > 1:
-        tables = tables.unionByName(spark.read.schema("kind int, part int, keys binary, counts binary, sums binary").parquet(f"{model.path}/contexts"))
+    read = lambda name: spark.read.schema(f"{TOLD}, role string").parquet(f"{model.path}/{name}").filter("role = 'model'").select("kind", "part", "keys", "counts", "sums")
+    tables = reduce(DataFrame.unionByName, [read("grams"), *[read(f"contexts{k}") for k in range(2, order + 1)]])
 
     def answer(key, left, right):
         kind, part = key[0].as_py(), key[1].as_py()
@@ -327,24 +361,25 @@ def looked_up(asked: DataFrame, model: Model) -> DataFrame:
 
 def summed(blocks: Blocks, told: DataFrame, levels: list[Level]) -> DataFrame:
     """Each document's scores from what its block was told."""
-    order, kind = len(levels), blocks.rows.schema["doc_id"].dataType.simpleString()
+    order, kind = len(levels), blocks.kind
 
     def score(key, left, right):
+        ids = {"doc_id": listed(left, "doc_ids"), "train": listed(left, "trains")}
         if not len(left):
-            return left.select(["doc_id", "train"]).append_column("n_tokens", pa.array([], pa.int64())).append_column("n_known", pa.array([], pa.int64())).append_column("base_score", pa.array([], pa.float64())).append_column("score", pa.array([], pa.float64()))
+            return pa.table(ids | {"n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         b = loaded(left, order)
         p, seen = evaluated(b, right, levels, order)
         _, at, counts, _ = seen[0]
         c, n = counts[at], b.n_docs
         base = np.log10((c + 0.5) / (levels[0].tokens + 0.5 * (levels[0].types + 1)))
-        out = {"doc_id": left["doc_id"], "train": left["train"], "n_tokens": pa.array(np.bincount(b.doc, minlength=n)), "n_known": pa.array(np.bincount(b.doc, weights=c > 0, minlength=n).astype(np.int64))}
+        out = ids | {"n_tokens": pa.array(np.bincount(b.doc, minlength=n)), "n_known": pa.array(np.bincount(b.doc, weights=c > 0, minlength=n).astype(np.int64))}
         return pa.table(out | {"base_score": pa.array(np.bincount(b.doc, weights=base, minlength=n)), "score": pa.array(np.bincount(b.doc, weights=np.log10(p), minlength=n))})
 
     out = blocks.rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(levels[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def train(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = 16 << 20, task_bytes: int = 32 << 20) -> Model:
+def train(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = 10 << 20, task_bytes: int = 32 << 20) -> Model:
     """A model of all documents, its tables below path. Cases as in scored()."""
     blocks = Blocks(prepared(docs, F.lit(True), id_col, text_col), f"{scratch(docs.sparkSession)}/blocks", block_bytes, task_bytes)
     model, _ = trained(blocks, path, order)
@@ -352,7 +387,7 @@ def train(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     return model
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, task_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 10 << 20, task_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of documents that the model need not have seen. Cases as in scored()."""
     path = scratch(docs.sparkSession)
     blocks = Blocks(prepared(docs, F.lit(False), id_col, text_col), f"{path}/blocks", block_bytes, task_bytes)
@@ -362,7 +397,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return got
 
 
-def scored(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = 16 << 20, task_bytes: int = 32 << 20, path: str | None = None) -> DataFrame:
+def scored(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = 10 << 20, task_bytes: int = 32 << 20, path: str | None = None) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score), one row per document.
 
     Learns from the rows where `train` holds (null does not) and scores all; the model's tables stay below path where one is given. Tokens are blank-separated words, A-Z
