@@ -5,8 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# Seconds of a shared, a short and a fast span; words at most in a group.
-TAIL, NUDGE, SHORT, FAST, MOST_WORDS = 0.25, 0.001, 0.19, 0.15, 64
+# Seconds of a shared and a short span; words at most in a group.
+TAIL, NUDGE, SHORT, MOST_WORDS = 0.25, 0.001, 0.19, 64
 # Function words that lean on the word after them, and other function words.
 LEANING = frozenset(("to", "of", "in", "on", "at", "by", "for", "from", "as", "with", "into", "than", "then", "that"))
 NEUTRAL = frozenset((
@@ -42,26 +42,6 @@ def repaired(rows: list[dict]) -> list[dict]:
     return out
 
 
-def words_of(r: dict) -> int:
-    return len((r["text"] or "").split(" "))
-
-
-def fast_merged(rows: list[dict]) -> list[dict]:
-    """Segments without duration or under FAST seconds a word join both neighbours and are marked for repair."""
-    out: list[dict] = []
-    absorb = False
-    for r in rows:
-        length = r["end"] - r["start"]
-        bad = length <= 0 or length / words_of(r) < FAST
-        if out and (bad or absorb):
-            last = out[-1]
-            out[-1] = {**last, "text": last["text"] + r["text"], "end": max(last["end"], r["end"]), "needs_repair": True}
-        else:
-            out.append({**r, "needs_repair": bad})
-        absorb = bad
-    return out
-
-
 def spread(rows: list[dict], weight=lambda r: max(len(r["token"].strip()), 1)) -> list[dict]:
     """Runs of equal spans share the time from where the last row ended to where the next one starts, by weight."""
     out: list[dict] = []

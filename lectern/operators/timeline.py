@@ -161,6 +161,21 @@ def closed(df: DataFrame, chapters: list[str], order: list[str], track_end: Colu
     return df.withColumns({"new_start": F.when(prev.isNull(), F.lit(0)).when(new_chapter, F.least(prev, "start")).otherwise(F.col("start")), "new_end": F.when(nxt.isNull(), track_end).otherwise(F.col("end"))})
 
 
+def fast_merged(df: DataFrame, track: list[str], order: list[str], least: float) -> DataFrame:
+    """Segments (text, start, end) without duration or under `least` seconds a word join both neighbours and are marked for repair.
+
+    Which segments are fast is seen before any is joined, so a segment begins a new one if neither it nor the one before it is fast: islands.
+    """
+    words, length = F.size(F.split("text", " ")), F.col("end") - F.col("start")
+    d = df.withColumn("_fast", (length <= 0) | (length / words < least))
+    d = islands(d, track, order, ~F.col("_fast") & ~F.lag("_fast").over(order_of(track, order)))
+    key = F.struct(*order)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda t: t["text"]), "")
+    first = [F.min(key).getField(c).alias(c) for c in order]
+    repair = (F.count(F.lit(1)) > 1) | F.min_by("_fast", key)
+    return d.groupBy(*track, "island").agg(*first, text.alias("text"), F.min_by("start", key).alias("start"), F.max("end").alias("end"), repair.alias("needs_repair")).drop("island")
+
+
 def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, that which comes first."""
     return df.groupBy(*keys).agg(*[F.min_by(c, F.struct(*order)).alias(c) for c in df.columns if c not in keys])

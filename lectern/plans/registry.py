@@ -392,7 +392,14 @@ def roman_words(spark, d):
     return cased_words(spark, d).withColumn("value", tx.roman_value(digits)).filter("value is not null")
 
 
-@query()
+PHRASES = r"""list_reduce(list_prepend({'done': []::varchar[], 'open': '', 'k': 0, 'i': 0}, list_transform(ws, lambda w: {'done': []::varchar[], 'open': w, 'k': 0, 'i': 0})), lambda s, w:
+ case when s.k+1>=2 and s.i < len(ws)-2 and regexp_matches(w.open, '[,:;—]\s*$') then {'done': list_append(s.done, s.open||w.open), 'open': '', 'k': 0, 'i': s.i+1} else {'done': s.done, 'open': s.open||w.open, 'k': s.k+1, 'i': s.i+1} end)"""
+
+
+@query(U + r""", pc as (select doc_id, unit_id, list_transform(regexp_extract_all(text, '[^ \t\n\r—,;!?|]*[ \t\n\r—,;!?|]+|[^ \t\n\r—,;!?|]+'), lambda p: [p]) ps from u),
+wd as (select doc_id, unit_id, list_reduce(ps, lambda a, b: case when regexp_matches(b[1], '^[\s\p{P}]*$') or regexp_matches(a[-1], '^[\s\p{P}]*$') then list_append(a[:-2], a[-1]||b[1]) else list_concat(a, b) end) ws from pc where len(ps)>0),
+ph as (select doc_id, unit_id, """ + PHRASES + """ st from wd)
+select doc_id, unit_id::int unit_id, unnest(case when st.open<>'' then list_append(st.done, st.open) else st.done end) phrase from ph""")
 def phrases(spark, d):
     return units(spark, d).select("doc_id", "unit_id", F.explode(tx.phrases(tx.words(F.col("text")))).alias("phrase"))
 
@@ -405,20 +412,24 @@ def word_groups(spark, d):
     return folds.per_group(w, ["conv_id", "turn"], ["word_idx"], folds.word_groups, T.StructType.fromDDL("conv_id long, turn int, group_idx int, token string, start double, end double, n_words int"))
 
 
-@query()
+@query("with recursive " + E.removeprefix("with ") + """, n as (select *, row_number() over (partition by track order by start, event_id) i from e),
+f as (select track, event_id, i, start::double start, greatest("end", start)::double + case when "end" <= start then 0.001 else 0 end "end" from n where i=1
+ union all select n.track, n.event_id, n.i, greatest(n.start, f."end"), case when n."end" > greatest(n.start, f."end") then n."end"::double else greatest(n.start, f."end") + 0.001 end from f join n on n.track=f.track and n.i=f.i+1)
+select track, event_id, round(start,6) start, round("end",6) "end" from f""")
 def overlap_repair(spark, d):
     from pyspark.sql import types as T
 
     e = events(spark, d).select("track", "event_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
-    return folds.per_group(e, ["track"], ["start", "event_id"], folds.repaired, T.StructType.fromDDL("track long, event_id long, start double, end double"))
+    return rounded(folds.per_group(e, ["track"], ["start", "event_id"], folds.repaired, T.StructType.fromDDL("track long, event_id long, start double, end double")), "start", "end")
 
 
-@query()
+@query(S + """, fw as (select conv_id, turn, text, start/1000.0::double a, "end"/1000.0::double z, "end"<=start or (("end"/1000.0::double - start/1000.0::double)/len(string_split(text,' '))) < 0.15 q from s),
+fv as (select *, case when row_number() over (partition by conv_id order by turn)=1 or (not q and not lag(q) over (partition by conv_id order by turn)) then 1 else 0 end b from fw),
+fg as (select *, sum(b) over (partition by conv_id order by turn rows unbounded preceding) k from fv)
+select conv_id, min(turn) turn, string_agg(text, '' order by turn) as text, round(arg_min(a, turn),6) start, round(max(z),6) "end", count(*)>1 or arg_min(q, turn) needs_repair from fg group by conv_id, k""")
 def fast_segments_merged(spark, d):
-    from pyspark.sql import types as T
-
     s = segments(spark, d).select("conv_id", "turn", "text", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"))
-    return folds.per_group(s, ["conv_id"], ["turn"], folds.fast_merged, T.StructType.fromDDL("conv_id long, turn int, text string, start double, end double, needs_repair boolean"))
+    return rounded(timeline.fast_merged(s, ["conv_id"], ["turn"], stats.FASTEST_WORD), "start", "end")
 
 
 @query()
