@@ -102,8 +102,11 @@ def slack(ll: np.ndarray, doc: np.ndarray, starts: np.ndarray, words: np.ndarray
     return np.maximum(gain - words, 0) + 1e-6
 
 
-def infer(langs: list[str | None], logs: list[np.ndarray], texts: list[bytes], rounds: int, penalty: float) -> list[tuple[str | None, float, list[tuple[str | None, float]]]]:
-    """For each text its language, that language's share, and the mixture; (None, 0, []) where there are no words."""
+def infer(langs: list[str | None], logs: list[np.ndarray], texts: list[bytes], rounds: int, penalty: float, doubt: float = 0.0) -> list[tuple[str | None, float, list[tuple[str | None, float]]]]:
+    """For each text its language, that language's share, and the mixture; (None, 0, []) where there are no words.
+
+    A last language None stands for none of the others; it counts only in texts that it alone makes likelier by `doubt` than any other alone does.
+    """
     out: list = [(None, 0.0, [])] * len(texts)
     if not langs:
         return out
@@ -115,6 +118,9 @@ def infer(langs: list[str | None], logs: list[np.ndarray], texts: list[bytes], r
         doc_of = np.searchsorted(ends, inside, side="right")
         ll = np.stack([np.add.reduceat(m[slots], starts) for block in logs for m in block], axis=1).astype(np.float64)
         ids, head, doc = np.unique(doc_of, return_index=True, return_inverse=True)
+        if langs[-1] is None:
+            alone = np.add.reduceat(ll, head, axis=0)
+            ll[(alone[:, -1] - alone[:, :-1].max(axis=1, initial=-np.inf) < doubt)[doc], -1] = -1e6
         n, k = len(ids), len(langs)
         words = np.bincount(doc, minlength=n)
         pi, all_ = mixtures(ll, doc, head, n, np.ones((n, k)), rounds)
@@ -177,11 +183,12 @@ def held_out(id_: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def identified(docs: DataFrame, model: Model, *, text_col: str = "text", langs: Collection[str] | None = None, least: float = 0.5, rounds: int = 12, penalty: float = 2.0) -> DataFrame:
+def identified(docs: DataFrame, model: Model, *, text_col: str = "text", langs: Collection[str] | None = None, least: float = 0.5, doubt: float = 20.0, rounds: int = 12, penalty: float = 2.0) -> DataFrame:
     """The documents, all columns as they are, in a language that is wanted.
 
     Beside the model's languages a document's words may come from none of them, in which all trigrams are alike likely. It stays if the largest of these in its mixture is one of `langs` (any
-    of the model's where that is None) and holds a share of `least` at least; so null texts, texts without letters, texts of strange languages or of
+    of the model's where that is None) and holds a share of `least` at least. No language is considered where it makes the whole text likelier by exp(doubt) than any language does, which a
+    few words cannot. So null texts, texts without letters, texts of strange languages or of
     random letters, and those that no language holds so much of go. A model without languages keeps nothing. Repeated rows get equal results; an empty table gives an empty one.
     """
     names = [*model.langs, None]
@@ -192,7 +199,7 @@ def identified(docs: DataFrame, model: Model, *, text_col: str = "text", langs:
 
     def run(batches):
         for b in parts(batches):
-            got = infer(names, [x.value for x in sent], as_bytes(b.column(at)), rounds, penalty)
+            got = infer(names, [x.value for x in sent], as_bytes(b.column(at)), rounds, penalty, doubt)
             yield b.filter(pa.array([lang in wanted and share >= least for lang, share, _ in got], pa.bool_()))
 
     return known.mapInArrow(run, docs.schema)

@@ -293,10 +293,12 @@ def test_language(spark, docs, none):
     assert langid.predict(none, model).count() == 0 and langid.predict(docs, langid.fit(none)).filter("lang_pred <> 'und'").count() == 0
     assert langid.identified(none, model).count() == 0 and langid.identified(docs, langid.fit(none)).count() == 0
     odd = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(40))
-    texts = [*texts, line("il la che di e non un per sono con", 60), odd, line(en, 50) + " " + line(de, 50) + " " + odd * 2]
+    model = langid.fit(spark.createDataFrame([("en", line(en, 5000)), ("de", line(de, 5000))], "lang string, text string"))
+    texts = [*texts, line("és hogy vagy egy volt már csak még lesz ők", 60), odd, "XQ."]
     kept = langid.identified(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, score string"), model)
-    assert kept.columns == ["doc_id", "text", "score"] and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
-    assert [r.doc_id for r in langid.identified(kept, model, langs={"en"}).collect()] == [0]
+    assert kept.columns == ["doc_id", "text", "score"] and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 6, 9]
+    wanted = langid.identified(kept.filter("doc_id < 3"), model, langs={"en"})
+    assert [r.doc_id for r in wanted.collect()] == [0] and sorted(r.doc_id for r in langid.identified(kept, model, least=0.9).collect() if r.doc_id < 3) == [0, 1]
     assert langid.identified(docs, langid.fit(docs)).columns == docs.columns
 
 
