@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import all_punctuation, is_separator
+
 
 def order_of(track: list[str], order: list[str]):
     return Window.partitionBy(*track).orderBy(*order)
@@ -66,10 +68,41 @@ def changes(track: list[str], order: list[str], *columns: str) -> Column:
     return out
 
 
-def merged(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """One row per island: tokens joined in order, least start, greatest end."""
+def merged(df: DataFrame, by: list[str], order: list[str], flags: list[str] = ()) -> DataFrame:
+    """One row per island: tokens joined in order, least start, greatest end, flags or-ed; where there are off_start and off_end their least and greatest, those below 0 aside."""
     token = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "token"))), lambda t: t["token"]), "")
-    return df.groupBy(*by).agg(token.alias("token"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+    known = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    offsets = [F.coalesce(f(known(c)), F.lit(-1)).alias(c) for c, f in (("off_start", F.min), ("off_end", F.max)) if c in df.columns]
+    return df.groupBy(*by).agg(token.alias("token"), F.min("start").alias("start"), F.max("end").alias("end"), *offsets, *[F.bool_or(c).alias(c) for c in flags], F.count(F.lit(1)).alias("n"))
+
+
+def words_begin(track: list[str], order: list[str], token: str = "token") -> Column:
+    """Whether a recogniser's token begins a word: it is empty, begins with a separator, or follows one that ends with a separator; the commas of a number separate nothing."""
+    t, prev = F.col(token), F.lag(token).over(order_of(track, order))
+    edge = (t == "") | is_separator(F.left(t, F.lit(1))) | F.coalesce(is_separator(F.right(prev, F.lit(1))), F.lit(False))
+    number = lambda c: F.trim(c).rlike(r"^[0-9,]*$")
+    comma, after = F.startswith(t, F.lit(",")), F.endswith(prev, F.lit(","))
+    inside = (comma != after) & ~prev.rlike(r"\s$") & ~t.rlike(r"^\s") & F.when(comma, number(prev)).otherwise(number(t))
+    return edge & ~F.coalesce(inside, F.lit(False))
+
+
+def word_kind(token: Column) -> Column:
+    """What a word may be in its sentence: nothing but blanks and punctuation, its end, its beginning, or other."""
+    said = F.trim(token)
+    return F.when(all_punctuation(token), "punctuation").when(F.endswith(said, F.lit(".")), "end").when(said.rlike(r"^\p{Lu}"), "begin").otherwise("other")
+
+
+def tokens_to_words(df: DataFrame, track: list[str], order: list[str]) -> DataFrame:
+    """Words of a recogniser's tokens (token, start, end), empty ones left out, each with its kind."""
+    i = islands(df, track, order, words_begin(track, order))
+    return merged(i, [*track, "island"], order).filter("token <> ''").withColumn("kind", word_kind(F.col("token")))
+
+
+def punctuation_joined(df: DataFrame, track: list[str], order: list[str], segment: str) -> DataFrame:
+    """Stamps that are punctuation alone join the one before them in their segment; a segment's first stays."""
+    w = order_of(track, order)
+    begins = ~all_punctuation(F.col("token")) | ~F.lag(segment).over(w).eqNullSafe(F.col(segment))
+    return merged(islands(df, track, order, begins), [*track, "island"], order)
 
 
 def run_duration(df: DataFrame, track: list[str], order: list[str], run: str) -> DataFrame:

@@ -298,3 +298,63 @@ def granular_units(spark, d):
     t = read(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     each = F.array(*[F.struct(F.lit(k).alias("granularity"), v.alias("units")) for k, v in granularities(F.col("text")).items()])
     return t.select("conv_id", "turn", F.explode(each).alias("g")).select("conv_id", "turn", "g.granularity", F.posexplode("g.units").alias("unit_id", "text"))
+
+
+# A recogniser's tokens: pieces of three letters at most with a blank before them, numbers cut at their commas, single marks.
+PIECES = S + r""", pc as (select conv_id, turn, regexp_extract_all(text || ' 1,250,000, ' || turn || ',7.', ' ?[A-Za-z]{1,3}|[0-9]{1,3}|.') ps from s),
+tk as (select conv_id, turn, generate_subscripts(ps,1)-1 i, unnest(ps) token from pc)"""
+SEP = r"(regexp_full_match({0}, '[\s\p{{P}}]') and {0} not in (chr(39),'-','.','%','·','•'))"
+
+
+@query(
+    PIECES
+    + ", pv as (select *, lag(token) over (partition by conv_id, turn order by i) p from tk), ed as (select *, (token='' or "
+    + SEP.format("left(token,1)") + " or coalesce(" + SEP.format("right(p,1)")
+    + r""", false)) and not coalesce(starts_with(token,',') <> ends_with(p,',') and not regexp_matches(p,'\s$') and not regexp_matches(token,'^\s') and case when starts_with(token,',') then regexp_matches(trim(p),'^[0-9,]*$') else regexp_matches(trim(token),'^[0-9,]*$') end, false) b from pv),
+ru as (select *, sum(case when b or p is null then 1 else 0 end) over (partition by conv_id, turn order by i rows unbounded preceding) - 1 k from ed),
+wo as (select conv_id, turn, k island, string_agg(token,'' order by i) token, count(*) n from ru group by 1,2,3)
+select conv_id, turn, island::bigint island, token, n, case when regexp_matches(token,'^[\s\p{P}]*$') then 'punctuation' when ends_with(trim(token),'.') then 'end' when regexp_matches(trim(token),'^\p{Lu}') then 'begin' else 'other' end kind from wo where token<>''"""
+)
+def token_words(spark, d):
+    text = F.concat("text", F.lit(" 1,250,000, "), F.col("turn").cast("string"), F.lit(",7."))
+    t = segments(spark, d).select("conv_id", "turn", F.posexplode(F.regexp_extract_all(text, F.lit(r"( ?[A-Za-z]{1,3}|[0-9]{1,3}|.)"), F.lit(1))).alias("i", "token"))
+    t = t.withColumns({"start": F.col("i"), "end": F.col("i")})
+    return timeline.tokens_to_words(t, ["conv_id", "turn"], ["i"]).select("conv_id", "turn", "island", "token", "n", "kind")
+
+
+@query(
+    STAMPS
+    + r""", od as (select track, idx, case when idx%4=3 then '-- ' when idx%9=5 then '! ' else token end token, start, "end", idx//6 seg from st),
+fl as (select *, case when not regexp_matches(token,'^[\s\p{P}]*$') or lag(seg) over (partition by track order by idx) is distinct from seg then 1 else 0 end b from od),
+gr as (select *, sum(b) over (partition by track order by idx rows unbounded preceding)-1 k from fl)
+select track, k::bigint island, string_agg(token,'' order by idx) token, min(start) start, max("end") "end", count(*) n from gr group by 1,2"""
+)
+def punctuation_stamps(spark, d):
+    token = F.when(F.col("idx") % 4 == 3, "-- ").when(F.col("idx") % 9 == 5, "! ").otherwise(F.col("token"))
+    s = stamps(spark, d).withColumn("token", token).withColumn("seg", F.floor(F.col("idx") / 6))
+    return timeline.punctuation_joined(s.select("track", "idx", "token", "start", "end", "seg"), ["track"], ["idx"], "seg")
+
+
+@query(
+    STAMPS
+    + """, od as (select track, idx//3 k, idx, token, start, "end", case when idx%5=0 then -1 else off_start end os, case when idx%5=0 then -1 else off_end end oe, idx%7=0 rebuilt from st)
+select track, k::bigint island, string_agg(token,'' order by idx) token, min(start) start, max("end") "end", coalesce(min(case when os>=0 then os end),-1)::bigint off_start, coalesce(max(case when oe>=0 then oe end),-1)::bigint off_end, bool_or(rebuilt) rebuilt, count(*) n from od group by 1,2"""
+)
+def stamps_merged(spark, d):
+    lost = F.col("idx") % 5 == 0
+    s = stamps(spark, d).withColumns({"off_start": F.when(lost, -1).otherwise(F.col("off_start")), "off_end": F.when(lost, -1).otherwise(F.col("off_end")), "rebuilt": F.col("idx") % 7 == 0, "island": F.floor(F.col("idx") / 3)})
+    return timeline.merged(s, ["track", "island"], ["idx"], ["rebuilt"])
+
+
+@query(
+    E
+    + """, ix as (select *, row_number() over (partition by track order by start, event_id)-1 i from e), sg as (select *, i//4 seg from ix), se as (select track, seg, max("end") edge from sg group by 1,2),
+j as (select sg.*, edge from sg join se using (track, seg)), o as (select *, lag("end") over w pe, lead(start) over w ns, lag(edge) over w pg from j window w as (partition by track order by start, event_id))
+select track, event_id, case when pe < start then case when pg >= pe and pg <= start then pg::double else (pe+start)/2.0::double end else start::double end new_start, case when ns > "end" then case when edge >= "end" and edge <= ns then edge::double else ("end"+ns)/2.0::double end else "end"::double end new_end from o"""
+)
+def gap_split_at_segments(spark, d):
+    """Gaps are split where the segment of the row before them ends, looked up by its index."""
+    e = timeline.numbered(events(spark, d), ["track"], ["start", "event_id"]).withColumn("seg", F.floor(F.col("idx") / 4))
+    e = e.join(e.groupBy("track", "seg").agg(F.max("end").alias("segment_edge")), ["track", "seg"])
+    g = timeline.split_gaps(e, ["track"], ["start", "event_id"])
+    return g.select("track", "event_id", F.col("new_start").cast("double").alias("new_start"), F.col("new_end").cast("double").alias("new_end"))
