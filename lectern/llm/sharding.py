@@ -32,7 +32,7 @@ def bytes_of(rows: DataFrame, columns: list[str]) -> Column:
     return sum(wide, F.lit(0))
 
 
-def shuffled(rows: DataFrame, *, key: str = "doc_id", size: Column | None = None, shards: int = 8, seed: int = 17, bucket_bytes: int = 32 << 20, row_bytes: int = 32, task_bytes: int = 64 << 20) -> DataFrame:
+def shuffled(rows: DataFrame, *, key: str = "doc_id", size: Column | None = None, shards: int = 8, seed: int = 17, bucket_bytes: int = 16 << 20, row_bytes: int = 32, task_bytes: int = 64 << 20) -> DataFrame:
     """The rows with shard, slot and grown_shard (the shard if there were one more), each shard's rows in the order of their slots.
 
     First pass: seeded hashes of whole rows scatter each shard over buckets that fit in memory; a shard has as many as its own sum of sizes asks for (the
