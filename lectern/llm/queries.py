@@ -33,7 +33,7 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.held_out(F.col("doc_id"), 5, 1)
     got = katz.scored(table(spark, sf_dir, "documents"), ~out)
-    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,17 @@ hw as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(genera
 hi as (select doc_id, count(distinct item_id) n_items, sha256(string_agg(distinct item_id::varchar, ',' order by item_id::varchar)) items_sha256 from hits group by 1)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, coalesce(items_sha256, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from dw left join hw using (doc_id) left join hi using (doc_id)""",
+        "op2_repeats": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+p as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) g from (select doc_id, h, unnest(generate_series(0, (length(h) // 2 - 400)::bigint)) i from d where length(h) >= 800)),
+r as (select doc_id, i from (select *, count(*) over (partition by g) c from p) where c > 1),
+s as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end b from r),
+t as (select doc_id, i, sum(b) over (partition by doc_id order by i rows unbounded preceding) k from s),
+u as (select doc_id, k, min(i) a, max(i) + 400 z from t group by 1, 2),
+v as (select doc_id, count(*) n_spans, sum(z - a) n_removed from u group by 1),
+x as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) f, a e from u union all select doc_id, max(z), null from u group by 1),
+y as (select x.doc_id, string_agg(substr(h, (2 * f + 1)::bigint, (2 * (coalesce(e, length(h) // 2) - f))::bigint), '' order by f) kept from x join d using (doc_id) group by 1)
+select doc_id, (length(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 from d left join v using (doc_id) left join y using (doc_id)""",
         "op3_near": f"""
 with recursive d as (select doc_id, {SPLIT} w from documents),
 s as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end g
@@ -112,6 +123,26 @@ h as (select *, case when source_size > 0 then target / source_size else 0.0 end
 j as (select doc_id, d.source, size, source_size, target, rate, shift, floor(('0x' || md5('mix:' || coalesce(doc_id::varchar, ''))[1:8])::bigint::double / 4294967296.0 * strata) stratum from d join h on d.source is not distinct from h.source),
 m as (select *, row_number() over (partition by source order by stratum, size, md5(doc_id::varchar), doc_id) pos from j)
 select doc_id, size, source_size, target, ((floor(shift + rate * pos) - floor(shift + rate * (pos - 1))) * size)::bigint taken from m""",
+        "op5_katz": f"""
+with d as (select doc_id, list_append({SPLIT}, chr(0)) w, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) crc from documents),
+t as (select doc_id, xor(crc, 4294967295) % 5 = 1 held_out, unnest(w) w, generate_subscripts(w, 1) i from d),
+g as (select *, coalesce(lag(w) over (partition by doc_id order by i), chr(1)) a from t),
+c1 as (select w, count(*) c from g where not held_out group by 1), c2 as (select a, w, count(*) c from g where not held_out group by 1, 2),
+n1 as (select sum(c) n, count(*) v from c1),
+o1 as (select r, (select count(*) from c1 where c = r) n from range(1, 7) x(r)), o2 as (select r, (select count(*) from c2 where c = r) n from range(1, 7) x(r)),
+a1 as (select case when max(case when r = 1 then n end) > 0 then 6.0 * max(case when r = 6 then n end) / max(case when r = 1 then n end) else 1.0 end::double a from o1),
+a2 as (select case when max(case when r = 1 then n end) > 0 then 6.0 * max(case when r = 6 then n end) / max(case when r = 1 then n end) else 1.0 end::double a from o2),
+e1 as (select x.r, case when x.n > 0 and a < 1 then (((x.r + 1) * y.n)::double / (x.r * x.n) - a) / (1 - a) else 0.0 end k from o1 x join o1 y on y.r = x.r + 1, a1),
+e2 as (select x.r, case when x.n > 0 and a < 1 then (((x.r + 1) * y.n)::double / (x.r * x.n) - a) / (1 - a) else 0.0 end k from o2 x join o2 y on y.r = x.r + 1, a2),
+d1 as (select r, case when k > 0 and k < 1 then k else (r - 0.5) / r end::double k from e1), d2 as (select r, case when k > 0 and k < 1 then k else (r - 0.5) / r end::double k from e2),
+m1 as (select w, c, c * coalesce(k, 1.0) m from c1 left join d1 on r = c), m2 as (select a, w, c, c * coalesce(k, 1.0) m from c2 left join d2 on r = c),
+s1 as (select sum(m) / max(n) share, greatest(1 - sum(m) / max(n), 1 / (max(n) + 1.0)) rest, max(n) n, max(v) v from m1, n1),
+p1 as (select w, c, (1 - rest) / share * m / n p from m1, s1),
+h as (select a, sum(m2.c) total, sum(m) / sum(m2.c) share, greatest(1 - sum(m) / sum(m2.c), 1 / (sum(m2.c) + 1.0)) rest, sum(p) lower_ from m2 join p1 using (w) group by a),
+q as (select g.doc_id, held_out, p1.c c, coalesce(p1.p, rest_) pu, case when h.a is null then coalesce(p1.p, rest_) when m2.m is not null then (1 - h.rest) / h.share * m2.m / h.total else h.rest / greatest(1 - h.lower_, 1e-12) * coalesce(p1.p, rest_) end p
+  from g left join p1 on p1.w = g.w left join h on h.a = g.a left join m2 on m2.a = g.a and m2.w = g.w, (select rest rest_ from s1))
+select doc_id, held_out, count(*) n_tokens, count(c) n_known, max(n)::bigint train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 6) base_score, round(sum(log10(p)), 6) score from q, s1 group by 1, 2""",
         "op9_warc": """
 with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint payload_bytes, sha1(encode(coalesce(html, ''))) payload_digest from pages),
 b as (select *, max(page_id) over (partition by payload_digest) best from p)
