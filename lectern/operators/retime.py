@@ -62,9 +62,9 @@ def filled_offsets(units: DataFrame, track: list[str], order: list[str]) -> Data
     return d.drop("_p", "_run", "_lost", "_n")
 
 
-def suspicious(shared: Column, interpolated: Column, start: Column, end: Column, n_words: Column) -> Column:
-    """Times shared with another unit, or interpolated and too short for the words."""
-    return shared | interpolated & ((end - start) / F.greatest(n_words, F.lit(1)) < SUSPICIOUS)
+def suspicious(shared: Column, interpolated: Column, start: Column, end: Column, n_words: Column, least: float = SUSPICIOUS) -> Column:
+    """Times shared with another unit, or interpolated and too short for the words: under `least` a word, in the unit of start and end. Whole milliseconds are exact, seconds are as near as doubles are."""
+    return shared | interpolated & ((end - start) / F.greatest(n_words, F.lit(1)) < least)
 
 
 def rebuilt(units: DataFrame, track: list[str], order: list[str], vlen: Column) -> DataFrame:

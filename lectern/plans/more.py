@@ -91,7 +91,7 @@ select doc_id, unit_id::int unit_id, re rebuilt, case when re then (lo+floor((hi
 def rebuilt_spans(spark, d):
     n = F.size(F.split("text", " "))
     u = units(spark, d).withColumns({"shared": (F.col("doc_id") + F.col("unit_id")) % 7 == 0, "interpolated": (F.col("doc_id") + F.col("unit_id")) % 5 == 0})
-    u = u.withColumn("suspect", retime.suspicious(F.col("shared"), F.col("interpolated"), F.col("start") / 1000, F.col("end") / 1000, n))
+    u = u.withColumn("suspect", retime.suspicious(F.col("shared"), F.col("interpolated"), F.col("start"), F.col("end"), n, 100))
     return retime.rebuilt(u, ["doc_id"], ["unit_id"], F.col("vlen") + 1).select("doc_id", "unit_id", "rebuilt", "new_start", "new_end")
 
 
