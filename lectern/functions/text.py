@@ -33,8 +33,8 @@ def once(value: Column, then) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Split after runs of . ! ? that blanks follow; the marks stay, the blanks go."""
-    return F.split(F.regexp_replace(F.trim(text), r"([.!?]+)[ \n\t\r]+", "$1\u0001"), "\u0001")
+    """Split after runs of . ! ? that blanks follow; the marks stay, the blanks go, and so do spaces of any kind at both ends of the text."""
+    return F.split(F.regexp_replace(F.regexp_replace(text, r"\A\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", ""), r"([.!?]+)[ \n\t\r]+", "$1\u0001"), "\u0001")
 
 
 def unspoken(text: Column) -> Column:
@@ -43,7 +43,7 @@ def unspoken(text: Column) -> Column:
 
 
 def all_punctuation(text: Column) -> Column:
-    return text.rlike(r"^[\s\p{P}]*$")
+    return text.rlike(r"\A[ \t\n\f\r\p{P}]*\z")
 
 
 def words(text: Column) -> Column:
@@ -65,18 +65,16 @@ def count_words(text: Column) -> Column:
 
 
 def phrases(words_: Column) -> Column:
-    """Words joined into phrases: one ends after a word with a phrase mark once it has two words and over two words remain."""
+    """Words joined into phrases: one ends after a word with a phrase mark, blanks and line breaks behind it or none, once it has two words and over two words remain."""
     return once(words_, _phrases)
 
 
 def _phrases(words_: Column) -> Column:
     n = F.size(words_)
-    ends = F.concat(*[F.lit(c) for c in PHRASE_ENDS])
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"), F.lit(0).alias("k"), F.lit(0).alias("i"))
 
     def add(s: Column, w: Column) -> Column:
-        stripped = F.rtrim(w)
-        over = (s["k"] + 1 >= 2) & (s["i"] < n - 2) & (F.instr(ends, F.right(stripped, F.lit(1))) > 0) & (F.length(stripped) > 0)
+        over = (s["k"] + 1 >= 2) & (s["i"] < n - 2) & w.rlike(rf"[{PHRASE_ENDS}][ \t\n\f\r]*\z")
         joined = F.concat(s["open"], w)
         return F.struct(F.when(over, F.concat(s["out"], F.array(joined))).otherwise(s["out"]).alias("out"), F.when(over, "").otherwise(joined).alias("open"), F.when(over, 0).otherwise(s["k"] + 1).alias("k"), (s["i"] + 1).alias("i"))
 

@@ -75,3 +75,9 @@ def same_as_sql(spark, path, texts: dict, name):
 def test_spans_of_just_the_least_time(spark, tmp_path):
     # 231's 55th unit, interpolated, has 200 ms from 36810 ms on for two words; as seconds the two doubles differ by less.
     assert (231, 54, False, 36810, 37010) in same_as_sql(spark, tmp_path, {k: "a b. " * 60 + "a b." for k in (82, 231, 352)}, "rebuilt_spans")
+
+
+def test_phrases_of_broken_lines(spark, tmp_path):
+    texts = {1: "of, of,\nLicensed under it.", 2: "One, two;\t\r\n three of, \f four five.", 3: "a, b;\x0bc d e", 4: "a b;\u2028, c d e", 5: "\xa0 a,\u3000b c.\xa0", 6: None, 7: ""}
+    got = same_as_sql(spark, tmp_path, texts, "phrases")
+    assert {(1, 0, "of, of,\n"), (1, 0, "Licensed under it."), (2, 0, "One, two;\t\r\n "), (3, 0, "a, b;"), (5, 0, "a,\u3000b c.")} <= set(got)
