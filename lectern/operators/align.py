@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,8 @@ AHEAD, AHEAD_SHORT, TRIES, TRIES_SHORT, TOO_SHORT, TOGETHER = 10, 3, 30, 2, 3, 3
 WINDOWS, TOO_LONG = (1.5, 3, 7), 1.2
 #: Characters of the pieces that stand for a text in the quick test before edits are counted.
 Q = 3
+#: Spine numbers in a range of chapters.
+SPINE = 4096
 ALIGNED = "chapter_id {id}, unit_id int, text string, match_type string, match_text string, off_start long, off_end long"
 
 _ends = re.compile(r"^[\W_]+|[\W_]+$")
@@ -185,7 +188,21 @@ def aligned(units: DataFrame, heard: DataFrame, chapter: str = "chapter_id") ->
 
 
 def head_bounds(chapters: DataFrame) -> DataFrame:
-    """(chapter_id, prev_off, next_off): nearest non-zero offsets that earlier and later chapters of a book (`path`, where there is one) use, by spine order."""
-    w = Window.partitionBy(*[c for c in ("path",) if c in chapters.columns]).orderBy("spine_idx")  # one row per chapter
-    used = F.nullif(F.col("off"), F.lit(0))
-    return chapters.withColumns({"prev_off": F.last(used, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "next_off": F.first(used, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    """(chapter_id, prev_off, next_off): nearest non-zero offsets that earlier and later chapters of a book (`path`, where there is one) use, by spine order.
+
+    Chapters are taken in ranges of SPINE numbers, each range by itself; what lies before and behind a range is carried from one to the next, a row a range.
+    """
+    book = [c for c in ("path",) if c in chapters.columns]
+    part = [*book, "_r"]
+    d = chapters.withColumns({"_u": F.nullif(F.col("off"), F.lit(0)), "_r": F.floor(F.col("spine_idx") / SPINE)})
+    before, place = lambda w: w.rowsBetween(Window.unboundedPreceding, -1), F.when(F.col("_u").isNotNull(), F.struct("spine_idx"))
+    ends = d.groupBy(*part).agg(F.min_by("_u", place).alias("_a"), F.max_by("_u", place).alias("_z"))
+    # Both ways from the rows before: a frame that ends with the last row is read anew for each.
+    up, down = (before(Window.partitionBy(*book).orderBy(o)) for o in (F.asc("_r"), F.desc("_r")))
+    ends = ends.select(*[F.col(c).alias(f"_k{c}") for c in part], F.last("_z", True).over(up).alias("_prev"), F.last("_a", True).over(down).alias("_next"))
+    order = Window.partitionBy(*part).orderBy("spine_idx")
+    d = d.withColumns({"_i": F.row_number().over(order), "prev_off": F.last("_u", True).over(before(order))})
+    d = d.withColumn("next_off", F.last("_u", True).over(before(Window.partitionBy(*part).orderBy(F.desc("_i")))))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in part])
+    d = d.join(ends, same).withColumns({"prev_off": F.coalesce("prev_off", "_prev"), "next_off": F.coalesce("next_off", "_next")})
+    return d.drop("_u", "_r", "_i", "_prev", "_next", *[f"_k{c}" for c in part])

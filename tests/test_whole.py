@@ -5,9 +5,11 @@ import re
 import unicodedata
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import similarity
+from lectern.operators import align, similarity
 from lectern.plans import more, registry  # noqa: F401  both add their queries
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +83,28 @@ def test_phrases_of_broken_lines(spark, tmp_path):
     texts = {1: "of, of,\nLicensed under it.", 2: "One, two;\t\r\n three of, \f four five.", 3: "a, b;\x0bc d e", 4: "a b;\u2028, c d e", 5: "\xa0 a,\u3000b c.\xa0", 6: None, 7: ""}
     got = same_as_sql(spark, tmp_path, texts, "phrases")
     assert {(1, 0, "of, of,\n"), (1, 0, "Licensed under it."), (2, 0, "One, two;\t\r\n "), (3, 0, "a, b;"), (5, 0, "a,\u3000b c.")} <= set(got)
+
+
+@pytest.mark.parametrize("books,span", [(1, 4), (3, 4), (1, 4096)])
+def test_head_bounds_of_ranges(spark, monkeypatch, books, span):
+    monkeypatch.setattr(align, "SPINE", span)
+    rng = random.Random(books * span)
+    rows = [(b or None, i, rng.choice([0, 0, 0, 0, 0, 0, None, b * 1000 + i + 7])) for b in range(books) for i in range(-20, 60, 1 + b)]
+    chapters = spark.createDataFrame(rows, "path int, spine_idx long, off long")
+    d = align.head_bounds(chapters if books > 1 else chapters.drop("path"))
+    want = set()
+    for b, i, off in rows:
+        used = [(j, x) for c, j, x in rows if c == b and x]
+        want.add((*[b] * (books > 1), i, off, max([u for u in used if u[0] < i], default=(0, None))[1], min([u for u in used if u[0] > i], default=(0, None))[1]))
+    got = [tuple(r) for r in d.collect()]
+    assert set(got) == want and len(got) == len(want)
+    # A frame up to the last row is read again for every row, so its time grows with the square of the rows.
+    assert "unboundedfollowing" not in d._jdf.queryExecution().toString().lower()
+
+
+def test_head_bounds_of_many_chapters(spark):
+    n = 300_000
+    d = align.head_bounds(spark.range(n).select(F.col("id").alias("spine_idx"), F.when(F.col("id") % 90_000 == 5, F.col("id")).otherwise(0).alias("off")))
+    got = d.agg(F.count(F.lit(1)), F.count("prev_off"), F.sum("prev_off"), F.count("next_off"), F.sum("next_off")).first()
+    used = range(5, n, 90_000)
+    assert tuple(got) == (n, n - 6, sum(u * (min(u + 90_000, n - 1) - u) for u in used), used[-1], sum(u * (u - max(u - 90_000, 0)) for u in used))
