@@ -10,24 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, langid, mixing, near, sharding
-from lectern.llm.common import scratch, stored, table
+from lectern.llm.common import scratch, small_batches, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are mostly in none of the corpus's languages: null texts, texts without letters, strange languages, random letters, and
     mixtures of which no language holds half. Languages are learned from three quarters of the rows that name one; where none does, all documents go. Repeated rows
     stay or go together."""
+    small_batches(spark)
     return langid.identified(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id"), 4, 2))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of five-word shingles alike to 0.8: that with the least doc_id (null ids last), and one row of it. Null and blank texts, which
     have no shingles, all stay."""
+    small_batches(spark)
     return near.distinct_documents(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with ten words in a row of a benchmark item, or a whole shorter one. Null and empty texts stay, and so does all with an empty benchmark."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

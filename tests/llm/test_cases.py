@@ -9,6 +9,7 @@ import string
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -436,3 +437,20 @@ def test_pipeline_stages_on_hard_rows(spark, tmp_path):
         if name == "language ID":
             assert not ids & {9001, 9002, 9003} and len(ids & {r.doc_id for r in docs}) >= 55
     assert before.count() == got.count() and got.filter("_size = 3 and row = 1").count() == got.count()
+
+
+def test_pipeline_takes_small_batches(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words of it "), F.lit(300)).alias("text"), F.lit("en").alias("lang")).coalesce(1)
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"n": [b.nbytes for b in batches]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        for start, most in ((None, 2 << 20), ("65536", 65536)):
+            spark.conf.unset(key) if start is None else spark.conf.set(key, start)
+            kept = corpus_pipeline.language(spark, docs, "")
+            got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert kept.count() == 4000 and sum(got) > 4000 * 5100 and max(got) < 1.25 * most
+    finally:
+        spark.conf.unset(key)
