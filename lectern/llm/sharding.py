@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,13 @@ def bytes_of(rows: DataFrame, columns: list[str]) -> Column:
     return sum(wide, F.lit(0))
 
 
+def salts(spark: SparkSession, parts: int) -> list[int]:
+    """An integer for each of so many partitions, which repartition() by an int column deals to it."""
+    ids = spark.range(32 * parts).select(F.col("id").cast("int").alias("id"))
+    found = {r.p: r.id for r in ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()}
+    return [found.get(p, p) for p in range(parts)]
+
+
 def shuffled(rows: DataFrame, *, key: str = "doc_id", size: Column | None = None, shards: int = 8, seed: int = 17, bucket_bytes: int = 16 << 20, row_bytes: int = 32, task_bytes: int = 64 << 20) -> DataFrame:
     """The rows with shard, slot and grown_shard (the shard if there were one more), each shard's rows in the order of their slots.
 
@@ -51,14 +58,17 @@ def shuffled(rows: DataFrame, *, key: str = "doc_id", size: Column | None = None
         shard_of(k, shards, seed).alias("shard"), shard_of(k, shards + 1, seed).alias("grown_shard"),
     )
     sums = {r.shard: r.n for r in d.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    buckets = F.array(*[F.lit(max(1, -(-sums.get(i, 0) // bucket_bytes))) for i in range(shards)])
-    d = d.withColumn("bucket", F.pmod("h", F.element_at(buckets, F.col("shard") + 1)))
+    buckets = [max(1, -(-sums.get(i, 0) // bucket_bytes)) for i in range(shards)]
+    of = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    d = d.withColumn("bucket", F.pmod("h", of(buckets, F.col("shard"))))
     counts = d.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))  # a row for each bucket
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
     parts = max(1, -(-sum(sums.values()) // task_bytes))
-    # Dealt by bucket already, so that collecting a bucket needs no second exchange.
-    whole = d.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 2), "h").alias("h"), "row", "grown_shard")).alias("rows"))
+    # Dealt by bucket already, so that collecting a bucket needs no second exchange; as many buckets to each task, where a hash of them gives some tasks twice as many.
+    nth = of([sum(buckets[:i]) for i in range(shards)], F.col("shard")) + F.col("bucket")
+    d = d.withColumn("deal", of(salts(rows.sparkSession, parts), F.floor(nth * parts / sum(buckets))))
+    whole = d.repartition(parts, "deal").groupBy("deal", "shard", "bucket").agg(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 2), "h").alias("h"), "row", "grown_shard")).alias("rows"))
     fixed = F.array_sort("rows", lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0))  # rows of any type, by hash alone
     # The shuffle expression draws from one stream per partition, so partitions and the order in them are fixed.
     whole = whole.select("shard", "bucket", fixed.alias("rows")).sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("rows", seed).alias("rows"))

@@ -454,3 +454,12 @@ def test_pipeline_takes_small_batches(spark):
             assert kept.count() == 4000 and sum(got) > 4000 * 5100 and max(got) < 1.25 * most
     finally:
         spark.conf.unset(key)
+
+
+def test_buckets_are_dealt_evenly(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(968)).alias("text"))
+    got = sharding.shuffled(docs, bucket_bytes=20_000, task_bytes=100_000).withColumn("pid", F.spark_partition_id()).collect()
+    tasks = collections.Counter(r.pid for r in got)
+    assert len(got) == 3000 and len(tasks) == 30 and max(tasks.values()) < 150
+    for shard in range(8):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
